@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import packing, similar, split, tokens
+from .syntax import files as syntax
 
 CAPACITY = 2048
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, d, "source_files"), table(spark, d, "languages"))
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "source_files"), table(spark, d, "languages"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.similar_pairs(table(spark, d, "embed_responses"), 0.83, 10)
 
@@ -34,4 +43,4 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p5_found, p5_pieces, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p4_found, p5_found, p5_pieces, p8_ids, p9_containers)}

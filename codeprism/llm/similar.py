@@ -5,7 +5,8 @@
 3. A set of ``probes`` vectors is compared with all vectors in blocks, which gives their true
    neighbours. From these the margin is calibrated: leaves are visited in best-bin-first order, wider
    and wider, until ``recall`` of the true neighbours has been reached.
-4. Every vector is filed in its home leaf and asked of each leaf within the margin. A leaf is one
+4. Every vector is filed in its home leaf and asked of each leaf within the margin; a visit serves both
+   sides, the asked vector and the rows of the leaf. A leaf is one
    group of rows; a leaf with more than ``split_rows`` rows is split by a hash of the id, and its
    queries go to every part, so no task gets more than that, however many copies a vector has.
 5. Each leaf answers its queries with exact cosines; the k best of each query are merged.
@@ -139,17 +140,27 @@ def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tupl
             out[model] = 0.0 if floor is not None else 2.0
             continue
         ids, q = probes[model]
-        where = tree.home(np.frombuffer(b"".join(own.v), np.float32).reshape(-1, widths[model]))
-        rows, leaves, width = tree.visits(q, 2.0)
-        at = {(r, x): w for r, x, w in zip(rows, leaves, width)}
+        near = np.frombuffer(b"".join(own.v), np.float32).reshape(-1, widths[model])
         number = {i: n for n, i in enumerate(ids)}
-        needed = np.sort([at[number[i], x] for i, x in zip(own.q, where)])
+        of = np.array([number[i] for i in own.q])
+        # a pair is seen as soon as one of the two visits the other's leaf
+        there = _needed(tree, q, of, tree.home(near))
+        back = _needed(tree, near, np.arange(len(near)), tree.home(q)[of])
+        needed = np.sort(np.minimum(there, back))
         out[model] = float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1e-4
     return out
 
 
+def _needed(tree: Tree, q: np.ndarray, row: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """The margin at which query ``row`` visits ``leaf``, for each pair of the two."""
+    rows, leaves, width = tree.visits(q, 2.0)
+    table = np.full((len(q), tree.leaves), 2.0)
+    table[rows, leaves] = width
+    return table[row, leaf]
+
+
 def _search(model: str, ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int, floor: float | None, leaf_rows: int, margin: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The neighbours of ``q`` among ``x``; a leaf that has outgrown its size gets a tree of its own."""
+    """The neighbours of ``q`` among ``x`` and the reverse; a leaf that has outgrown its size gets a tree of its own."""
     if len(x) > 8 * leaf_rows:
         tree = grow(x[np.argsort(mixed(ids))[: 64 * max(2, len(x) // leaf_rows)]], len(x) // leaf_rows)
         home = tree.home(x)
@@ -165,6 +176,8 @@ def _search(model: str, ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np
                 s[asked[w][:, None] == ids[base][None, :]] = -np.inf
                 r, c = _best(s, k, floor)
                 yield asked[w][r], ids[base][c], s[r, c]
+                c, r = _best(s.T, k, floor)
+                yield ids[base][c], asked[w][r], s[r, c]
 
 
 def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.995, leaf_rows: int = 2000, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 256, split_rows: int = 200_000) -> DataFrame:
@@ -224,6 +237,7 @@ def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, re
     filed = source.mapInArrow(file, "model string, leaf bigint, base boolean, id bigint, v binary")
     found = filed.groupBy("model", "leaf").applyInPandas(answer, "model string, id bigint, neighbour bigint, cosine double")
     best = Window.partitionBy("model", "id").orderBy(F.desc("cosine"), "neighbour")
+    found = found.groupBy("model", "id", "neighbour").agg(F.max("cosine").alias("cosine"))  # both may have visited the other
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
