@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import generated, packing, similar, split, tokens
+from . import generated, packing, prose, similar, split, tokens
 from .syntax import files as syntax
 
 CAPACITY = 2048
@@ -22,6 +22,14 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(table(spark, d, "source_files"), table(spark, d, "languages"))
 
 
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return prose.file_languages(table(spark, d, "source_files"), table(spark, d, "languages"), table(spark, d, "lang_samples"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_shares(spark, d).select("file_id", "lang")
+
+
 def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
     return generated.classified(table(spark, d, "source_files"), table(spark, d, "languages"), table(spark, d, "vendor_catalog"))
 
@@ -51,4 +59,4 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p8_ids, p9_containers)}
