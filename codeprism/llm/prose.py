@@ -22,7 +22,7 @@ from .syntax.script import REGEX, TEMPLATE
 
 # fixed values: common function words of the languages in Latin script; more come from the samples
 FUNCTION_WORDS = {
-    "de": "der die das und nicht mit wenn ist wird nach für dem den ein eine",
+    "de": "der die das und nicht mit wenn ist wird nach für dem den ein eine aus von oder auch bitte werden sind",
     "en": "the and not with when is are of to if for that this from it by which both in or as be was has have their its before after without only",
     "es": "el la los las y no con cuando es una por para del que sin",
     "fr": "le la les et ne pas avec lorsque est une pour des du que sans",

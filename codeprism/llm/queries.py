@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import generated, packing, prose, similar, split, tokens
+from . import generated, packing, prose, residue, similar, split, tokens
 from .syntax import files as syntax
 
 CAPACITY = 2048
@@ -58,5 +58,13 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), CAPACITY)
 
 
+def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_content(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_reasons(spark, d).select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p8_ids, p9_containers, p10_found, p10_reasons)}
