@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import generated, packing, prose, residue, similar, split, tokens
+from . import documented, generated, packing, prose, residue, similar, split, tokens
 from .syntax import files as syntax
 
 CAPACITY = 2048
@@ -50,6 +50,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_pieces(spark, d).where(F.col("piece") == 1).select("chunk_id")  # whatever is cut has a second piece
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return documented.documented(table(spark, d, "chunks"), table(spark, d, "languages"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select("chunk_id", "function_name")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encoded(table(spark, d, "documents"))
 
@@ -67,4 +75,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p8_ids, p9_containers, p10_found, p10_reasons)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p6_found, p6_pairs, p8_ids, p9_containers, p10_found, p10_reasons)}
