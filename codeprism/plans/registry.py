@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import skewed
+from . import audits, indexing, searches, skewed
+
+PARTS = (skewed, audits, searches, indexing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**skewed.queries()}
+    return {k: f for part in PARTS for k, f in part.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**skewed.oracle_sql()}
+    return {k: s for part in PARTS for k, s in part.oracle_sql().items()}
