@@ -53,7 +53,7 @@ SPANS = {
     "go": _spans(rf"{DOUBLE}|`[^`]*`", SLASHED, r"'(?:[^'\\\n]|\\.)+'"),
     "rust": _spans(r"\"(?:[^\"\\]|\\[\s\S])*\"", SLASHED, r"b?'(?:[^'\\\n]|\\[^'\n]{1,9}|\\')'"),
     "java": _spans(rf"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|{DOUBLE}", SLASHED, r"'(?:[^'\\\n]|\\.[0-9a-fA-F]{0,4})'"),
-    "json": re.compile(r"(?P<s>\"(?:[^\"\\\n]|\\.)*\")(?!\s*:)|(?P<c>(?!))"),
+    "json": re.compile(r"\"(?:[^\"\\\n]|\\.)*\"\s*:|(?P<s>\"(?:[^\"\\\n]|\\.)*\")|(?P<c>(?!))"),
 }
 SPANS |= {"typescript": SPANS["script"], "tsx": SPANS["script"], "javascript": SPANS["script"]}
 
