@@ -56,13 +56,15 @@ def bm25(docs: DataFrame, query: str, k: int | None = None, key: str = "doc_id",
     terms and sizes are aggregates of one row, the score is computed row by row in the JVM.
     """
     terms = sorted(set(_words(query)))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), tokens(text).alias("w"))
-    tf = {t: F.size(F.filter("w", _is(t))) for t in terms}
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg"), *[F.sum((tf[t] > 0).cast("bigint")).alias(f"df{i}") for i, t in enumerate(terms)])
+    words = docs.where(F.col(text).isNotNull()).select(F.col(key), tokens(text).alias("w"))
+    # of a text only its length and its query terms are kept, so the terms are counted in short lists
+    rows = words.select(key, F.size("w").alias("dl"), F.filter("w", lambda x: x.isin(terms)).alias("h"))
+    tf = {t: F.size(F.filter("h", _is(t))) for t in terms}
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.sum((tf[t] > 0).cast("bigint")).alias(f"df{i}") for i, t in enumerate(terms)])
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score = score + F.when(tf[t] > 0, idf * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * F.size("w") / F.col("avg")))).otherwise(0.0)
+        score = score + F.when(tf[t] > 0, idf * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * F.col("dl") / F.col("avg")))).otherwise(0.0)
     out = rows.crossJoin(F.broadcast(stats)).select(F.col(key), F.round(score, digits).alias("score")).where("score > 0")
     return out if k is None else out.orderBy(F.desc("score"), key).limit(k)
 
