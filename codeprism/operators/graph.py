@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_test_path
 from ..session import materialised
-from .symbols import all_references, corpus, definitions, edges, not_builtin, references
-
-__all__ = ["call_graph", "neighbours", "shortest_path", "pagerank", "file_subgraph", "trace_groups", "call_sites", "caller_tree", "tests_reaching", "page_rank_boost", "corpus"]
+from .symbols import all_references, edges, references
 
 
 def call_graph(c: DataFrame) -> DataFrame:
