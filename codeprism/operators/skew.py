@@ -27,13 +27,11 @@ def numbered(rows: DataFrame, key: str, item: str) -> DataFrame:
     """``rows`` in the order of (key, item), with ``place``: their exact 0-based number in that order."""
     ordered = materialised(rows.repartitionByRange(F.col(key), F.col(item)).sortWithinPartitions(key, item))
     tagged = ordered.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", PLACE_BITS))
-    sizes = {r["_p"]: r["n"] for r in tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number per partition
-    starts, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        starts.append(total)
-        total += sizes.get(p, 0)
-    start = F.element_at(F.array(*map(F.lit, starts)), (F.col("_p") + 1).cast("int")) if starts else F.lit(0)
-    return tagged.withColumn("place", start + F.col("_m").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).drop("_m", "_p")
+    sizes = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    place = F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return tagged.join(F.broadcast(starts), "_p").withColumn("place", place).drop("_m", "_p", "_s")
 
 
 def keyed_totals(pairs: DataFrame, chunk_rows: int = 50_000) -> DataFrame:

@@ -172,6 +172,10 @@ LAST = "l AS (SELECT path, event, ts FROM (SELECT *, row_number() OVER (PARTITIO
 FILES = "s AS (SELECT file_id, any_value(content) AS content FROM source_files GROUP BY file_id)"
 
 
+def _words_sql(symbol):
+    return rf"list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace({symbol}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_-]+', ' ', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 1))"
+
+
 def oracle_sql():
     base = S.BASE
     return {
@@ -182,6 +186,13 @@ def oracle_sql():
         "chunk_texts": f"""{base}, t AS (SELECT id, concat_ws(chr(10), 'File: ' || path, CASE WHEN len(imports) > 0 THEN 'Imports: ' || array_to_string(imports, ', ') END,
             CASE WHEN coalesce(parent_symbol, '') <> '' THEN parent_symbol || ' > ' || coalesce(defs[1], '') END, content, docstring) AS t FROM c)
             SELECT id, length(t) AS n_chars, ceil(length(t) / 4)::BIGINT AS tokens, sha256(t) AS digest FROM t""",
+        "signature_lines": rf"""{base} SELECT id, regexp_replace(trim(l[1]), '[ \t]*[{{:]$', '') AS signature FROM (SELECT id, list_filter(string_split_regex(content, '\r?\n'), lambda x: contains(x, defs[1])) AS l FROM c WHERE len(defs) > 0 AND content IS NOT NULL) WHERE len(l) > 0""",
+        "import_lines": rf"""WITH {FILES} SELECT file_id, len(regexp_extract_all(content, '(?m)^[ \t]*(?:import\b|from[ \t]+\S+[ \t]+import\b|use[ \t]+[\w:]+|(?:const|let|var)[ \t]+\S+[ \t]*=[ \t]*require\()')) AS imports FROM s WHERE content IS NOT NULL""",
+        "shape_similarity": f"""{base}, w AS (SELECT id, {_words_sql('defs[1]')} AS a, {_words_sql('defs[2]')} AS b FROM c WHERE len(defs) > 1)
+            SELECT id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM w""",
+        "policy_admitted": f"""WITH {LISTING}, x AS (SELECT path, size, string_split(path, '/') AS p FROM n) SELECT path, size FROM x
+            WHERE len(list_intersect(p[1:len(p) - 1], {sources.IGNORED_NAMES!r})) = 0 AND NOT ({" OR ".join(f"p[-1] GLOB '{g}'" for g in sources.IGNORED_FILES)})
+            AND list_contains({sources.EXTENSIONS!r}, lower(regexp_extract(p[-1], '(\\.[^.]*)$', 1))) AND size > 0 AND size <= {sources.MOST_BYTES}""",
         "latest_event": f"WITH {LAST} SELECT * FROM l",
         "feed_totals": "SELECT project_root, event, count(*) AS events, count(DISTINCT path) AS paths FROM (SELECT DISTINCT * FROM change_feed) GROUP BY ALL",
         "change_ladder": f"""WITH {LISTING}, o AS (SELECT path, CASE WHEN length(path) % 35 % 5 = 0 THEN mtime_ms - 1000 ELSE mtime_ms END AS mtime_ms, CASE WHEN length(path) % 35 % 11 = 0 THEN size + 1 ELSE size END AS size, CASE WHEN length(path) % 35 % 7 = 0 THEN '0' ELSE hash END AS hash FROM n WHERE length(path) % 35 <> 3),
