@@ -180,7 +180,7 @@ def _search(model: str, ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np
                 yield ids[base][c], asked[w][r], s[r, c]
 
 
-def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.995, leaf_rows: int = 2000, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 256, split_rows: int = 200_000) -> DataFrame:
+def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.995, leaf_rows: int = 4000, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 256, split_rows: int = 200_000) -> DataFrame:
     """``model, id, neighbour, cosine``: at most k rows for each usable vector, none below ``floor``.
 
     ``responses`` has model, vec_ids and vectors; other columns are ignored. A repeated (model, id) is
