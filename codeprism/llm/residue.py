@@ -21,7 +21,8 @@ INLINE = re.compile(r"(`+)(?:(?!\1)[^\n])+\1")
 QUOTED = re.compile(r"\"[^\"\n]{2,200}\"|“[^”\n]{2,200}”|„[^“”\n]{2,200}[“”]|「[^」\n]{2,200}」|‘[^’\n]{2,200}’")
 COMMENT = re.compile(r"<!--[\s\S]*?-->")
 BLANK = re.compile(r"[\s​-‏⁠﻿­]+")
-NAV = re.compile(r"^(?:[≡☰]\s*\w{0,12}|(?:[^|·•›»\n]{1,18}\s*[|·•›»]\s*){2,}[^|·•›»\n]{1,18}|(?:skip to|back to) \w+(?: \w+)?)$", re.I)
+NAV = re.compile(r"^(?:[≡☰]\s*\w{0,12}|(?:skip to|back to) \w+(?: \w+)?)$", re.I)
+BETWEEN = re.compile(r"[|·•›»]")
 
 # fixed values: the ways in which templates write a slot
 SLOT = re.compile(
@@ -55,7 +56,8 @@ STUB = re.compile(
 )
 LOREM = re.compile(r"\b(?:lorem|ipsum|dolor|amet|consectetur|adipis\w+)\b", re.I)
 COMMON = re.compile(r"\b(?:the|and|is|are|of|to|that|with|der|die|und|ist|le|les|des|est|que|los|las|por|il|che|di|het|een|niet|nie|jest|się|não|uma|para)\b", re.I)
-SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?。！？]+(?=\s|$|[^\x00-\x7f])|\n|$)")
+END = re.compile(r"(?<![.!?。！？])[.!?。！？]+(?=\s|$|[^\x00-\x7f])")
+RUN = 600  # words that are looked at together for repeats: in a longer text even real words repeat
 
 
 def normalised(line: str) -> str:
@@ -79,12 +81,31 @@ class Recurrent:
         return any(h in s for s in self.sets)
 
 
+def navigation(line: str) -> bool:
+    """A menu sign, a jump, or three and more short entries side by side."""
+    parts = BETWEEN.split(line)
+    return bool(NAV.match(line)) or len(parts) > 2 and all(p and len(p.strip()) <= 18 for p in parts)
+
+
+def sentences(line: str) -> Iterator[str]:
+    at = 0
+    for m in END.finditer(line):
+        yield line[at : m.end()]
+        at = m.end()
+    yield line[at:]
+
+
+def repeated(words: list[str]) -> bool:
+    kinds = len(set(words))
+    return kinds <= max(4, len(words) // 12) and kinds * 2 <= len(words) and len(words) / kinds >= 3
+
+
 def filler(text: str) -> bool:
-    """Pseudo-Latin, or a few words said over and over."""
+    """Pseudo-Latin, or a few words said over and over, in each run of a longer text."""
     words = re.findall(r"[^\W\d_]+", text.lower())
     if len(words) >= 5:
-        kinds = len(set(words))
-        if kinds <= max(4, len(words) // 12) and kinds * 2 <= len(words) and len(words) / kinds >= 3:
+        runs = max(1, len(words) // RUN)
+        if all(repeated(words[len(words) * i // runs : len(words) * (i + 1) // runs]) for i in range(runs)):
             return True
     if len(words) >= 6 and LOREM.search(text) and not COMMON.search(text):
         return True
@@ -92,8 +113,39 @@ def filler(text: str) -> bool:
     return len(lines) >= 4 and len(set(lines)) == 1
 
 
+def weighed(lines: list[str]) -> str | None:
+    """error, script, stub where nearly all that the lines say, but for quotations, is evidence of it."""
+    size = sum(map(len, lines)) + len(lines) - 1
+    good = bad = 0
+    kind = None
+    for x in lines:
+        if re.match(r"\W*\{|(?:fatal|error)|\s*at ", x, re.I) and ERROR.search(x):
+            bad += len(x)
+            kind = kind or "error"
+            continue
+        strong = None
+        own = QUOTED.sub(" ", x)
+        for s in sentences(own if BLANK.sub("", own) else x):
+            if not s.strip():
+                continue
+            k = "error" if ERROR.search(s) else "script" if SCRIPTS.search(s) else "stub" if STUB.search(s.strip().strip("_")) else None
+            strong = strong or k
+            # a short sentence beside evidence belongs to the same notice
+            if k or strong and len(s) < 50 or filler(s):
+                bad += len(s)
+                kind = kind or k
+            else:
+                good += len(s)
+                if good > 0.2 * size:
+                    return None  # the rest cannot make up for it
+    return kind if kind and bad >= 0.8 * (good + bad) else None
+
+
 def evidence(line: str) -> bool:
-    return bool(len(line) < 400 and (ERROR.search(line) or SCRIPTS.search(line) or STUB.search(line)))
+    """A short line is evidence by any sign in it; a line of 400 characters or more, by what nearly all of it says."""
+    if len(line) >= 400:
+        return weighed([line]) is not None
+    return bool(ERROR.search(line) or SCRIPTS.search(line) or STUB.search(line))
 
 
 def missing(text: str | None, boilerplate: frozenset | Recurrent = frozenset()) -> str | None:
@@ -107,41 +159,16 @@ def missing(text: str | None, boilerplate: frozenset | Recurrent = frozenset())
         return "slot"
     hint = COMMENT.search(running)
     lines = [x for x in (y.strip() for y in COMMENT.sub("", running).split("\n")) if BLANK.sub("", x)]
-    kept = [x for x in lines if not (len(x) <= 160 and (NAV.match(x) or normalised(x) in boilerplate)) or evidence(x)]
+    kept = [x for x in lines if not (navigation(x) or normalised(x) in boilerplate) or evidence(x)]
     body = [x for x in kept if not re.match(r"#{1,6}\s", x)]
     if not body:
         return None if had_code or not (hint or len(kept) < len(lines)) else "stub"
     whole = "\n".join(body)
     if had_code and len(text) - len(running) > len(whole):
         return None
-    if len(whole) < 4000 and filler(whole):
+    if filler(whole) or LOREM.search(whole) and not COMMON.search(whole):
         return "filler"
-    if LOREM.search(whole) and not COMMON.search(whole) and len(whole) < 20000:
-        return "filler"
-    if len(whole) > 1500:
-        return None
-    good = bad = 0
-    kind = None
-    for x in body:
-        if re.match(r"\W*\{|(?:fatal|error)|\s*at ", x, re.I) and ERROR.search(x):
-            bad += len(x)
-            kind = kind or "error"
-            continue
-        strong = None
-        for s in SENTENCE.findall(x):
-            if not s.strip():
-                continue
-            k = "error" if ERROR.search(s) else "script" if SCRIPTS.search(s) else "stub" if STUB.search(s.strip()) else None
-            strong = strong or k
-            # a short sentence beside evidence belongs to the same notice
-            if k or strong and len(s) < 50 or filler(s):
-                bad += len(s)
-                kind = kind or k
-            else:
-                good += len(s)
-                if good > 0.2 * len(whole):
-                    return None  # the rest cannot make up for it
-    return kind if kind and bad >= 0.8 * (good + bad) else None
+    return weighed(body)
 
 
 def recurrent(docs: DataFrame, key: str, text: str, host: str, host_share: float, share: float) -> DataFrame:
@@ -151,7 +178,7 @@ def recurrent(docs: DataFrame, key: str, text: str, host: str, host_share: float
     document can recur in a host, which bounds the list of each host.
     """
     split = F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), "[0-9]+", "0")))))
-    lines = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("_h"), split.alias("line")).where((F.length("line") > 1) & (F.length("line") <= 120))
+    lines = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("_h"), split.alias("line")).where((F.length("line") > 1))
     lines = lines.select("_h", F.xxhash64("line").alias("line"))
     counts = lines.groupBy("_h", "line").agg(F.count(F.lit(1)).alias("n"))
     sizes = docs.where(F.col(text).isNotNull()).groupBy(F.col(host).alias("_h")).agg(F.count(F.lit(1)).alias("docs"))

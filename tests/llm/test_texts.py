@@ -132,3 +132,26 @@ def test_boilerplate_is_what_recurs(spark):
     df = spark.createDataFrame([(i, f"Our site menu\n\n{'word ' * (i + 3)}", "h") for i in range(20)], "doc_id long, text string, source string")
     lines = {r["line"] for r in residue.recurrent(df, "doc_id", "text", "source", 0.05, 0.002).collect()}
     assert lines == {residue.line_hash("our site menu")}
+
+
+LONG = {
+    "HTTP 500\n" + "".join(f"  at handle{w} (server/of{w}.js:7)\n" for w in (f"{a}{b}{a}" for a in "bcdfgh" for b in "aeiouklmnpqr")): "error",
+    "\n".join(f"Feld {w}: (hier eintragen)" for w in (f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiouklmnpqr" for c in "xyz")): "stub",
+    "\n".join(f"Step {w} needs cookies. Please enable cookies in the settings of {w} and load {w} again." for w in (f"{a}{b}{a}" for a in "bcdfgh" for b in "aeiou")): "script",
+    "blah boo bam " * 2000: "filler",
+    "Lorem ipsum donec velor besit aresta quonda mollit viverim sona. " * 400: "filler",
+}
+
+
+def test_long_texts_are_judged_too():
+    for text, kind in LONG.items():
+        assert len(text) > 1500 and residue.missing(text) == kind
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
+    assert residue.missing(" ".join(words * 30)) is None  # few kinds for its length, but no repeats nearby
+    assert residue.missing(" | ".join(words) * 50 + " | a much longer entry than a menu has, and a plain sentence") is None
+
+
+def test_long_footers_are_boilerplate(spark):
+    footer = "The Lantern footer tells at length who runs this site and how it is paid for, " * 3 + "year 2024."
+    df = spark.createDataFrame([(i, f"404 page not found\n\n{footer}" if i == 7 else f"Words of text {'on this ' * i}\n\n{footer}", "h") for i in range(20)], "doc_id long, text string, source string")
+    assert [tuple(r) for r in residue.without_content(df).collect()] == [(7, "error")]
