@@ -68,6 +68,11 @@ def caller_tree(spark, d):
     return graph.caller_tree(corpus(spark, d, *MEMBERS), SYMBOL, 2)
 
 
+def caller_tree_3(spark, d):
+    """All three levels; ``caller_tree`` has the two that its SQL unrolls."""
+    return graph.caller_tree(corpus(spark, d, *MEMBERS), SYMBOL, 3)
+
+
 def neighbours(spark, d):
     return graph.neighbours(graph.call_graph(corpus(spark, d, *LIGHT)), SYMBOL, 3)
 
@@ -101,6 +106,12 @@ def find_tests(spark, d):
     return out.withColumn("via", F.array_join("via", ","))
 
 
+def find_tests_3(spark, d):
+    """All three levels; ``find_tests`` has the two that its SQL unrolls."""
+    out = graph.tests_reaching(corpus(spark, d, *LIGHT, "content"), [SYMBOL, "dropEdge"], 3)
+    return out.withColumn("via", F.array_join("via", ","))
+
+
 def dependents(spark, d):
     return analytics.dependents(corpus(spark, d, *LIGHT), [SYMBOL, "dropEdge"]).withColumn("symbols", F.array_join("symbols", ","))
 
@@ -159,7 +170,7 @@ def project_longest_prefix(spark, d):
     return analytics.project_of(corpus(spark, d, "path"), table(spark, d, "projects")).select("id", "root")
 
 
-QUERIES = (god_nodes, hub_files, dead_candidates, dead_status, file_edges, file_cycles, symbol_edges, callers, callees, trace_groups, call_sites, caller_tree, neighbours, shortest_path, file_subgraph, pagerank_5, pagerank_boost, find_tests, dependents, related_files, importers, impact_rollup, risk_table, symbols_top, symbols_all, summary_extensions, summary_directories, summary_roles, summary_key_symbols, summary_entry_points, project_status, project_longest_prefix)
+QUERIES = (god_nodes, hub_files, dead_candidates, dead_status, file_edges, file_cycles, symbol_edges, callers, callees, trace_groups, call_sites, caller_tree, caller_tree_3, neighbours, shortest_path, file_subgraph, pagerank_5, pagerank_boost, find_tests, find_tests_3, dependents, related_files, importers, impact_rollup, risk_table, symbols_top, symbols_all, summary_extensions, summary_directories, summary_roles, summary_key_symbols, summary_entry_points, project_status, project_longest_prefix)
 
 
 def queries():

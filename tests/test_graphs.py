@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from codeprism.functions.text import is_test_path
 from codeprism.operators import analytics, audit, graph, symbols
+from codeprism.plans import audits
 
 SCHEMA = "id string, project_root string, path string, start_line int, is_exported boolean, defined_symbols array<string>, referenced_symbols array<string>, type_referenced_symbols array<string>, member_referenced_symbols array<string>, parent_symbol string"
 
@@ -113,3 +115,35 @@ def test_project_of_takes_the_longest_root_and_no_sibling(spark):
     p = spark.createDataFrame([("/work/api",), ("/work/api-extra",), ("/work",)], "root string")
     rows = spark.createDataFrame([("1", "/work/api/x.ts"), ("2", "/work/api-extra/y.ts"), ("3", "/other/z.ts"), ("4", "/work/apix/z.ts")], "id string, path string")
     assert {r["id"]: r["root"] for r in analytics.project_of(rows, p).collect()} == {"1": "/work/api", "2": "/work/api-extra", "3": None, "4": "/work"}
+
+
+def test_registered_walks_go_to_the_third_level(spark):
+    d = "/root/testdata/sf0.1"
+    q = audits.queries()
+    calls = {(r["src"], r["dst"]) for r in symbols.edges(audits.corpus(spark, d, *audits.MEMBERS)).where("src <> 'unknown' and src <> dst").select("src", "dst").collect()}
+    level, seen, want = {audits.SYMBOL}, {audits.SYMBOL}, set()
+    for hops in (1, 2, 3):
+        up = {}
+        for s, t in calls:
+            if t in level and s not in seen:
+                up[s] = min(t, up.get(s, t))
+        want |= {(s, t, hops) for s, t in up.items()}
+        level = set(up)
+        seen |= level
+    got = {(r["symbol"], r["parent"], r["hops"]) for r in q["caller_tree_3"](spark, d).collect()}
+    assert got == want and any(h == 3 for _, _, h in got)
+    assert {x for x in got if x[2] < 3} == {(r["symbol"], r["parent"], r["hops"]) for r in q["caller_tree"](spark, d).collect()}
+
+    c = audits.corpus(spark, d, *audits.LIGHT)
+    refs = [(r["path"], r["symbol"], (r["defined_symbols"] or [None])[0]) for r in symbols.references(c).join(c.select("id", "defined_symbols"), "id").collect()]
+    tests = {r["path"] for r in c.select("path").distinct().where(is_test_path("path")).collect()}
+    level, seen, want = {audits.SYMBOL, "dropEdge"}, {audits.SYMBOL, "dropEdge"}, {}
+    for hops in range(3):
+        users = [x for x in refs if x[1] in level]
+        for path, _, _ in users:
+            if path in tests:
+                want.setdefault(path, hops)
+        level = {own for _, _, own in users if own} - seen
+        seen |= level
+    got = {r["path"]: r["hops"] for r in q["find_tests_3"](spark, d).where("hops >= 0").collect()}
+    assert got == want and 2 in got.values()
