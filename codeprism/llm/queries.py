@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..operators import analytics, audit, symbols
+from ..session import materialised, table
 from . import documented, generated, packing, prose, residue, similar, split, tokens
 from .syntax import files as syntax
 
@@ -66,6 +67,28 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), CAPACITY)
 
 
+def near_pairs(spark: SparkSession, d: str, floor: float = 0.83) -> DataFrame:
+    """Chunks with the 20 nearest vectors of each, whatever their cosine, and why a pair is no surprise."""
+    c = symbols.corpus(table(spark, d, "chunks"), "project_root", "path", "content", "defined_symbols", "referenced_symbols", "type_referenced_symbols", "start_line", "is_exported", "vec_id")
+    near = similar.neighbours(table(spark, d, "embed_responses"), 20)
+    one, two = (c.where("vec_id is not null").select(F.col("vec_id").alias(v), F.col("id").alias(k)) for v, k in (("id", "x"), ("neighbour", "y")))
+    both = near.join(one, "id").join(two, "neighbour").where("x <> y")
+    pairs = both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("cosine").alias("similarity"))
+    return analytics.surprising_pairs(c, materialised(pairs), audit.file_edges(c), floor, 3)
+
+
+def surprise_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return near_pairs(spark, d).select("a", "b", "similarity", F.coalesce("reason", F.lit("kept")).alias("reason"))
+
+
+def surprise_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return surprise_vectors(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def surprise_findings(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.file_pair_findings(near_pairs(spark, d))
+
+
 def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_content(table(spark, d, "documents"))
 
@@ -75,4 +98,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p6_found, p6_pairs, p8_ids, p9_containers, p10_found, p10_reasons)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p6_found, p6_pairs, p8_ids, p9_containers, p10_found, p10_reasons, surprise_vectors, surprise_funnel, surprise_findings)}

@@ -178,6 +178,19 @@ def surprising_pairs(c: DataFrame, pairs: DataFrame, edges: DataFrame, least: fl
     return rows.select("a", "b", "a_path", "b_path", "similarity", reason.alias("reason"))
 
 
+def file_pair_findings(pairs: DataFrame) -> DataFrame:
+    """``file_a, file_b, pairs, most, median, similarities, examples``: kept pairs by their two files, in either order.
+
+    ``pairs`` is what ``surprising_pairs`` gives. The median interpolates; the five largest similarities and
+    the three most similar pairs (ties by ids) are listed.
+    """
+    kept = pairs.where("reason is null").withColumn("e", F.struct((-F.col("similarity")).alias("s"), "a", "b"))
+    g = kept.groupBy(F.least("a_path", "b_path").alias("file_a"), F.greatest("a_path", "b_path").alias("file_b"))
+    out = g.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("similarity"), 3).alias("most"), F.round(F.percentile("similarity", F.lit(0.5)), 3).alias("median"), F.sort_array(F.collect_list("e")).alias("e"))
+    top = F.transform(F.slice("e", 1, 5), lambda x: F.round(-x["s"], 3))
+    return out.select("file_a", "file_b", "pairs", "most", "median", top.alias("similarities"), F.transform(F.slice("e", 1, 3), lambda x: F.concat_ws("~", x["a"], x["b"])).alias("examples"))
+
+
 def similarity_stats(rows: DataFrame, column: str) -> DataFrame:
     """``least, p50, p90, most, mean``, to three digits; percentiles interpolate."""
     return rows.agg(F.round(F.min(column), 3).alias("least"), F.round(F.percentile(column, F.lit(0.5)), 3).alias("p50"), F.round(F.percentile(column, F.lit(0.9)), 3).alias("p90"), F.round(F.max(column), 3).alias("most"), F.round(F.avg(column), 3).alias("mean"))

@@ -100,3 +100,25 @@ def test_split_chunks(spark):
     over = out[out.chunk_id == "over"].sort_values("piece")
     assert over.start_line.iloc[0] == 10 and over.end_line.iloc[-1] == 85 and over.start_line.iloc[1] <= over.end_line.iloc[0]
     assert split.split_chunks(df.limit(0)).count() == 0
+
+
+def test_surprises_come_from_vectors(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from codeprism.llm import queries
+    from codeprism.operators import analytics
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/embed_responses.parquet").select("vec_ids", "vectors").collect()
+    vecs = {i: np.array(v, float) for r in rows for i, v in zip(r["vec_ids"] or [], r["vectors"] or []) if v and len(v) in (64, 96) and np.isfinite(v).all() and np.any(v)}
+    at = {r["id"]: r["vec_id"] for r in spark.read.parquet(f"{d}/chunks.parquet").where("vec_id is not null").select("id", "vec_id").collect()}
+    got = queries.surprise_vectors(spark, d).collect()
+    assert len(got) > 100 and {"kept", "below"} <= {r["reason"] for r in got}
+    for r in got:
+        x, y = vecs[at[r["a"]]], vecs[at[r["b"]]]
+        assert abs(r["similarity"] - x @ y / np.linalg.norm(x) / np.linalg.norm(y)) < 1e-4
+        assert r["reason"] != "kept" or r["similarity"] >= 0.83
+    assert sum(r["pairs"] for r in queries.surprise_findings(spark, d).collect()) == sum(r["reason"] == "kept" for r in got)
+    p = spark.createDataFrame([("1", "2", "/f", "/g", 0.9, None), ("3", "4", "/g", "/f", 0.8, None), ("5", "6", "/f", "/g", 1.0, "tests")], "a string, b string, a_path string, b_path string, similarity double, reason string")
+    assert [tuple(r) for r in analytics.file_pair_findings(p).withColumn("examples", F.array_join("examples", ",")).drop("similarities").collect()] == [("/f", "/g", 2, 0.9, 0.85, "1~2,3~4")]
