@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialised
@@ -29,6 +29,7 @@ SHINGLE, BANDS, ROWS = 5, 12, 4
 AGREE, LEAST_SHINGLES = 0.75, 24
 #: Places over shingles with their identifiers, for the verification: short files of one shape are not copies.
 NAMED_PLACES, NAMED_AGREE = 24, 0.5
+STARS = 32  # members of a bucket that all others are compared with in a round
 MASKED_KEYWORDS = frozenset("if else for while do switch case default break continue return try catch finally throw new class struct enum interface impl trait fn func function def async await import from export package use const let var static public private protected void in of as with match loop yield lambda pass raise except elif and or not is".split())
 
 TOKENS = {
@@ -182,6 +183,24 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def spread(links: DataFrame) -> DataFrame:
+    """``u, reason`` of all that verified links reach: vendored before generated.
+
+    A link to the catalog, to a vendored file or across repositories makes both its ends vendored, one to a
+    generated file makes the other end generated; from there on a family shares what is known of its members.
+    """
+    foreign = (F.col("rank") <= 1) | (F.col("rank2") <= 1) | (F.coalesce("project_root", F.lit("")) != F.coalesce("root2", F.lit("")))
+    reason = F.when(foreign, "vendored").when((F.col("rank") == 2) | (F.col("rank2") == 2), "generated")
+    ends = F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.when(F.col(r) == 2, "generated").otherwise(F.col("reason")).alias("reason")) for u, r in (("u", "rank"), ("star", "rank2"))])).alias("e")
+    front = told = materialised(links.withColumn("reason", reason).where("reason is not null").select(ends).select("e.*").groupBy("u").agg(F.max("reason").alias("reason")))
+    both = materialised(links.select("u", F.col("star").alias("v")).unionByName(links.select(F.col("star").alias("u"), F.col("u").alias("v"))).distinct())
+    while not front.isEmpty():
+        step = both.join(front, "u").groupBy(F.col("v").alias("u")).agg(F.max("reason").alias("reason"))
+        front = materialised(step.join(told, "u", "left_anti"))
+        told = told.unionByName(front)
+    return told
+
+
 def classified(files: DataFrame, languages: DataFrame, catalog: DataFrame, key: str = "file_id", house: str = "Lantern Works") -> DataFrame:
     """``key, reason`` of every file that is not hand-written; reason is generated, vendored, minified or data.
 
@@ -220,8 +239,6 @@ def classified(files: DataFrame, languages: DataFrame, catalog: DataFrame, key:
             yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(at), b.column(2).take(at)], ["bucket", "u", "rank"])
 
     buckets = unit.select("u", "sig", "rank").mapInArrow(band, "bucket bigint, u bigint, rank int")
-    stars = buckets.groupBy("bucket").agg(F.min(F.struct("rank", "u")).alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("star.u").alias("star"))
-    links = buckets.join(stars, "bucket").where("u <> star").select("u", "star").distinct()
     star = unit.select(F.col("u").alias("star"), F.col("sig").alias("sig2"), F.col("project_root").alias("root2"), F.col("rank").alias("rank2"))
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,12 +248,21 @@ def classified(files: DataFrame, languages: DataFrame, catalog: DataFrame, key:
             ok = [bool(e[: BANDS * ROWS].mean() >= AGREE and e[BANDS * ROWS :].mean() >= NAMED_AGREE) for e in same]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    checked = links.join(unit, "u").join(star, "star").select("u", "star", "sig", "sig2", "project_root", "rank", "root2", "rank2").mapInArrow(agree, "u bigint, star bigint, sig binary, sig2 binary, project_root string, rank int, root2 string, rank2 int")
-    foreign = (F.col("rank2") <= 1) | (F.coalesce("project_root", F.lit("")) != F.coalesce("root2", F.lit("")))
-    reason = F.when(foreign, "vendored").when(F.col("rank2") == 2, "generated")
-    both = checked.withColumn("reason", reason).where("reason is not null")
-    told = both.select("u", "reason").unionByName(both.where("rank2 = 3 and reason = 'vendored'").select(F.col("star").alias("u"), "reason"))
-    told = told.groupBy("u").agg(F.max("reason").alias("reason"))
+    # members that fail against all stars of a round meet the stars of the next, until each bucket is used up
+    left, checked = materialised(buckets), None
+    while True:
+        first = left.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("rank", "u"))).where(F.col("r") <= STARS)
+        stars = first.select("bucket", F.col("u").alias("star"), F.col("rank").alias("star_rank"))
+        rest = materialised(left.join(stars, "bucket").where("struct(star_rank, star) < struct(rank, u)").select("bucket", "u", "rank", "star"))
+        if rest.isEmpty():
+            break
+        links = rest.select("u", "star").distinct()
+        met = links.join(unit, "u").join(star, "star").select("u", "star", "sig", "sig2", "project_root", "rank", "root2", "rank2").mapInArrow(agree, "u bigint, star bigint, sig binary, sig2 binary, project_root string, rank int, root2 string, rank2 int")
+        met = materialised(met.drop("sig", "sig2"))
+        checked = met if checked is None else checked.unionByName(met)
+        done = rest.join(met.select("u", "star"), ["u", "star"]).select("bucket", "u").unionByName(stars.select("bucket", F.col("star").alias("u")))
+        left = materialised(left.join(done.distinct(), ["bucket", "u"], "left_anti"))
+    told = spread(checked) if checked is not None else unit.select("u", F.lit(None).cast("string").alias("reason")).limit(0)
     linked = seen.where("sig is not null and why is null").withColumn("u", F.xxhash64("project_root", "sig")).join(told, "u").select("_k", "reason")
     # files without evidence of their own have not been parsed yet; those few are looked up again
     again = rows.join(linked.dropDuplicates(["_k"]), "_k").select("_k", "language", "content", "reason")

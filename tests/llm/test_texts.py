@@ -155,3 +155,20 @@ def test_long_footers_are_boilerplate(spark):
     footer = "The Lantern footer tells at length who runs this site and how it is paid for, " * 3 + "year 2024."
     df = spark.createDataFrame([(i, f"404 page not found\n\n{footer}" if i == 7 else f"Words of text {'on this ' * i}\n\n{footer}", "h") for i in range(20)], "doc_id long, text string, source string")
     assert [tuple(r) for r in residue.without_content(df).collect()] == [(7, "error")]
+
+
+def test_a_star_hides_no_copies_behind_it(spark, languages):
+    import re
+
+    copied = "\n".join(f"export function lib{'klmnopqrst'[i]}(data) {{\n  const v{i} = data.get({i * 91 + 3});\n  while (v{i} < {i}) {{\n    data.step(v{i}, \"{i}s\");\n  }}\n  return data.end({i * 7});\n}}" for i in range(8))
+    shape = re.sub(r"\b(lib\w|data|get|v\d|step|end)\b", r"\1Else", copied)  # of the same masked shape, with other names
+    df = spark.createDataFrame([(i, f"/r{i}", f"/r{i}/src/a.ts", copied) for i in (1, 2)], "file_id long, project_root string, path string, content string")
+    catalog = spark.createDataFrame([(1, "lib.ts", shape, "x")], "item_id long, file_name string, content string, hash string")
+    assert {r["file_id"]: r["reason"] for r in generated.classified(df, languages, catalog).collect()} == {1: "vendored", 2: "vendored"}
+
+
+def test_what_is_known_spreads_over_links(spark):
+    links = [(2, 1, 3, 3, "/r1", "/r1"), (3, 1, 3, 3, "/r2", "/r1"), (4, 2, 3, 3, "/r1", "/r1"), (11, 10, 3, 2, "/r5", "/r5"), (12, 11, 3, 3, "/r5", "/r5"), (21, 20, 3, 3, "/r6", "/r6")]
+    df = spark.createDataFrame(links, "u long, star long, rank int, rank2 int, project_root string, root2 string")
+    got = {r["u"]: r["reason"] for r in generated.spread(df).collect()}
+    assert got == {1: "vendored", 2: "vendored", 3: "vendored", 4: "vendored", 10: "generated", 11: "generated", 12: "generated"}
