@@ -172,3 +172,13 @@ def test_what_is_known_spreads_over_links(spark):
     df = spark.createDataFrame(links, "u long, star long, rank int, rank2 int, project_root string, root2 string")
     got = {r["u"]: r["reason"] for r in generated.spread(df).collect()}
     assert got == {1: "vendored", 2: "vendored", 3: "vendored", 4: "vendored", 10: "generated", 11: "generated", 12: "generated"}
+
+
+def test_functions_inside_arrows_and_methods():
+    text = "const outer = (a) => {\n  // Gives the area of a circle that the caller draws.\n  function inner(r) {\n    return r;\n  }\n  return inner(a);\n}\nclass A {\n  run(b) {\n    // Drops every entry older than the last page.\n    const drop = (x) => {\n      return x;\n    };\n  }\n}\n"
+    assert [name for name, _, _ in documented.pairs("typescript", text, None)] == ["inner", "drop"]
+
+
+def test_a_docstring_on_the_line_of_its_def(spark, languages):
+    df = spark.createDataFrame([("a", "/a.py", 'def f(x): "Gives the area of a circle."\n', None)], "id string, path string, content string, docstring string")
+    assert [tuple(r)[:2] for r in documented.documented(df, languages).collect()] == [("a", "f")]
