@@ -1,13 +1,12 @@
 """Generated, minified, vendored and data-only source files.
 
-Each file is read once. Its tokens, with identifiers masked and literals kept, give a MinHash
-signature of their shingles; what a file says about itself is taken from its leading comments, its
-name, its path and its shape. Signatures are banded; in every band bucket one member is the star
-(an item of the catalog first, then a file that is known to be foreign, then the smallest id), the
-other members are compared with the star alone, never with each other, and a link holds when the
-signatures agree. A cluster that reaches into several repositories, or to the catalog, is vendored;
-a family of one repository that is linked to a generated file is generated; a cluster of literals is
-a blob. What is left is hand-written.
+Each file is read once. Its tokens give two MinHash signatures of their shingles: one with identifiers
+and literals masked, which tells the shape, and one of the tokens as they stand. Files whose masked
+signatures agree form clusters (banding, verification, components, see ``clusters``), and clusters are
+what is judged: by the number of their repositories, their share of literals, and how many of their
+members carry a tool's mark, stand on minified lines or hold nothing but literals. What a file shows by
+itself (leading comments, name, path, shape) only confirms its cluster's verdict for it; a file that is
+like no other is a cluster of one, which its own evidence decides.
 """
 
 from __future__ import annotations
@@ -18,18 +17,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialised
+from .clusters import bands, components, links, stacked
 from .syntax.files import valid, with_language
 
-SHINGLE, BANDS, ROWS = 5, 12, 4
-#: Share of equal signature places from which a link holds, and shingles below which a file has no signature.
-AGREE, LEAST_SHINGLES = 0.75, 24
-#: Places over shingles with their identifiers, for the verification: short files of one shape are not copies.
-NAMED_PLACES, NAMED_AGREE = 24, 0.5
-STARS = 32  # members of a bucket that all others are compared with in a round
+SHINGLE, BANDS, ROWS = 5, 20, 16
+#: Places that are compared, and their share that must be equal.
+PLACES, AGREE = 128, 0.85
+#: Places over shingles as they stand, by which copies are told from files of one shape, and rows of their bands.
+NAMED_PLACES, NAMED_ROWS, NAMED_AGREE = 30, 3, 0.5
+#: A file of fewer different named shingles is a copy only of a file in the catalog, and only if all places agree.
+LEAST_SHINGLES = 24
+#: Share of the tokens of a cluster from which it is one of literals, and of its members from which their mark is its own.
+LITERAL, MARKED = 0.85, 0.5
 MASKED_KEYWORDS = frozenset("if else for while do switch case default break continue return try catch finally throw new class struct enum interface impl trait fn func function def async await import from export package use const let var static public private protected void in of as with match loop yield lambda pass raise except elif and or not is".split())
 
 TOKENS = {
@@ -90,7 +94,7 @@ def minified(text: str) -> bool:
 
 def data_only(text: str) -> bool:
     """Numbers or one long string make up the file; a short table of numbers beside code does not."""
-    strings = re.findall(r"\"((?:[^\"\\\n]|\\.){400,})\"|'((?:[^'\\\n]|\\.){400,})'|`([^`]{400,})`", text)
+    strings = re.findall(r"\"((?:[^\"\\\n]|\\.){400,})\"|'((?:[^'\\\n]|\\.){400,})'|`([^`]{400,})`", text) if "`" in text or max(map(len, text.split("\n"))) > 400 else ()
     packed = sum(len(s) for group in strings for s in group if s and not re.search(r"\s", s[:200]))
     if packed > 0.6 * len(text):
         return True
@@ -111,7 +115,7 @@ def json_data(text: str) -> bool:
 
 
 class _Masks(dict):
-    """Token -> two hashes in one number: identifiers masked in the upper half, kept in the lower."""
+    """Token -> two hashes in one number: identifiers and literals masked in the upper half, kept in the lower."""
 
     def __missing__(self, t):
         c = t[0]
@@ -119,6 +123,8 @@ class _Masks(dict):
             h = 0
         elif c.isalpha() or c == "_":
             h = _hash(t if t in MASKED_KEYWORDS else "a") << 32 | _hash(t)
+        elif c.isdigit() or c in "\"'`" and len(t) > 1:
+            h = (NUMBER if c.isdigit() else STRING) << 32 | _hash(t)
         else:
             h = _hash(t) << 32 | _hash(t)
         if len(t) < 40:
@@ -129,148 +135,166 @@ class _Masks(dict):
 
 
 def _hash(t: str) -> int:
-    import xxhash
-
     return xxhash.xxh32_intdigest(t) | 1
 
 
+NUMBER, STRING, NAME = _hash("0"), _hash('""'), _hash("a")
+
+
 @lru_cache(maxsize=1)
 def _tools():
     rng = np.random.default_rng(11)
     n = BANDS * ROWS + NAMED_PLACES
-    odd = (rng.integers(1, 1 << 61, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    odd = rng.integers(1, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    flips = rng.integers(0, 1 << 32, n, dtype=np.uint32)
     powers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-    return _Masks(), odd, powers
+    return _Masks(), odd, flips, powers
 
 
-def _places(h: np.ndarray, odd: np.ndarray, powers: np.ndarray) -> np.ndarray | None:
+def _shingles(h: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Distinct 32-bit hashes of five tokens in a row; of a shorter text, of all its tokens."""
+    n = min(SHINGLE, len(h))
     with np.errstate(over="ignore"):
-        s = sum(h[i : len(h) - SHINGLE + 1 + i] * powers[i] for i in range(SHINGLE))
+        s = sum(h[i : len(h) - n + 1 + i] * powers[i] for i in range(n))
         s ^= s >> np.uint64(31)
-        s = np.unique(s)
-        if len(s) < LEAST_SHINGLES:
-            return None
-        places = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(s), 2048):
-            places = np.minimum(places, ((s[i : i + 2048, None] * odd) >> np.uint64(16)).min(axis=0))
-    return (places & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return np.unique((s >> np.uint64(16)).astype(np.uint32))
 
 
-def signature(text: str, python: bool) -> np.ndarray | None:
-    """MinHash places (uint32): BANDS * ROWS of the masked shingles, then NAMED_PLACES of the unmasked.
+def _places(s: np.ndarray, odd: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """The least value of each permutation of 32 bits, of which the lower half is kept."""
+    places = np.full(len(odd), np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(s), 1024):
+        places = np.minimum(places, ((s[i : i + 1024, None] ^ flips) * odd).min(axis=0))
+    return places.astype(np.uint16)
 
-    None where there are fewer than LEAST_SHINGLES different masked shingles.
-    """
-    masks, odd, powers = _tools()
+
+def signature(text: str, python: bool) -> tuple[np.ndarray, np.ndarray, int, float] | None:
+    """(masked places, named places, different named shingles, share of literals); None without any token."""
+    masks, odd, flips, powers = _tools()
     h = np.fromiter(map(masks.__getitem__, TOKENS[python].findall(text)), np.uint64)
     h = h[h != 0]
-    if len(h) < LEAST_SHINGLES + SHINGLE:
-        return None
-    masked = _places(h >> np.uint64(32), odd[: BANDS * ROWS], powers)
-    if masked is None:
+    if not len(h):
         return None
-    return np.concatenate([masked, _places(h & np.uint64(0xFFFFFFFF), odd[BANDS * ROWS :], powers)])
-
-
-def _bands(sig: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        b = sig[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-        h = np.zeros(BANDS, np.uint64)
-        for i in range(ROWS):
-            h = (h ^ b[:, i]) * np.uint64(0x100000001B3)
-            h ^= h >> np.uint64(29)
-        h = (h + np.arange(BANDS, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return h.astype(np.int64)
-
-
-def spread(links: DataFrame) -> DataFrame:
-    """``u, reason`` of all that verified links reach: vendored before generated.
-
-    A link to the catalog, to a vendored file or across repositories makes both its ends vendored, one to a
-    generated file makes the other end generated; from there on a family shares what is known of its members.
-    """
-    foreign = (F.col("rank") <= 1) | (F.col("rank2") <= 1) | (F.coalesce("project_root", F.lit("")) != F.coalesce("root2", F.lit("")))
-    reason = F.when(foreign, "vendored").when((F.col("rank") == 2) | (F.col("rank2") == 2), "generated")
-    ends = F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.when(F.col(r) == 2, "generated").otherwise(F.col("reason")).alias("reason")) for u, r in (("u", "rank"), ("star", "rank2"))])).alias("e")
-    front = told = materialised(links.withColumn("reason", reason).where("reason is not null").select(ends).select("e.*").groupBy("u").agg(F.max("reason").alias("reason")))
-    both = materialised(links.select("u", F.col("star").alias("v")).unionByName(links.select(F.col("star").alias("u"), F.col("u").alias("v"))).distinct())
-    while not front.isEmpty():
-        step = both.join(front, "u").groupBy(F.col("v").alias("u")).agg(F.max("reason").alias("reason"))
-        front = materialised(step.join(told, "u", "left_anti"))
-        told = told.unionByName(front)
-    return told
+    shape, named = h >> np.uint64(32), _shingles(h & np.uint64(0xFFFFFFFF), powers)
+    literal = int(((shape == NUMBER) | (shape == STRING)).sum())
+    words = int((shape == NAME).sum())
+    n = BANDS * ROWS
+    return _places(_shingles(shape, powers), odd[:n], flips[:n]), _places(named, odd[n:], flips[n:]), len(named), literal / max(1, literal + words)
 
 
 def classified(files: DataFrame, languages: DataFrame, catalog: DataFrame, key: str = "file_id", house: str = "Lantern Works") -> DataFrame:
-    """``key, reason`` of every file that is not hand-written; reason is generated, vendored, minified or data.
+    """``key, reason, cluster, cluster_files`` of every file that is not hand-written.
 
-    Files that do not parse, have no content or an unknown extension are left out; a repeated delivery
-    gives one row. ``house`` is the name in the notices that the projects' own files carry.
+    reason is generated, vendored, minified or data; cluster_files counts the files of the cluster, with
+    those of the catalog. Files that do not parse, have no content or an unknown extension are left out;
+    a repeated delivery gives one row. ``house`` is the name in the notices that the projects' own files carry.
     """
+    kind = files.schema[key].dataType.simpleString()
     rows = with_language(files.select(F.col(key).alias("_k"), "project_root", "path", "content").where("content is not null and path is not null"), languages)
-    known = with_language(catalog.select(F.lit(None).cast(files.schema[key].dataType).alias("_k"), F.lit("").alias("project_root"), F.col("file_name").alias("path"), "content").where("content is not null"), languages)
+    known = with_language(catalog.select(F.lit(None).cast(kind).alias("_k"), F.lit(None).cast("string").alias("project_root"), F.col("file_name").alias("path"), "content").where("content is not null"), languages)
     columns = ["_k", "project_root", "path", "language", "content"]
-    kind = files.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whys, sigs = [], []
-            for k, root, path, lang, text in zip(*(b.column(i).to_pylist() for i in range(5))):
-                why = "catalog" if k is None else own_evidence(path, root, lang, text, house)
-                if why not in (None, "catalog") and not valid(lang, text):
-                    why = "invalid"
-                sig = None if lang == "json" or why in ("invalid", "data", "minified") else signature(text, lang == "python")
-                whys.append(why)
-                sigs.append(None if sig is None else sig.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(whys, pa.string()), pa.array(sigs, pa.binary())], ["_k", "project_root", "language", "why", "sig"])
-
-    seen = materialised(rows.select(*columns).unionByName(known.select(*columns)).mapInArrow(read, f"_k {kind}, project_root string, language string, why string, sig binary").where("why is not null or sig is not null"))
-    own = seen.where(F.col("why").isin("generated", "vendored", "minified", "data")).select(F.col("_k"), F.col("why").alias("reason"))
-
-    # one row per distinct (repository, signature): exact copies inside a repository share their links
-    rank = F.when(F.col("why") == "catalog", 0).when(F.col("why") == "vendored", 1).when(F.col("why") == "generated", 2).otherwise(3)
-    unit = seen.where("sig is not null").groupBy("project_root", "sig").agg(F.min(rank).alias("rank")).withColumn("u", F.xxhash64("project_root", "sig"))
-
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sigs = b.column(1).to_pylist()
-            h = np.concatenate([_bands(np.frombuffer(s, np.uint32)) for s in sigs]) if sigs else np.zeros(0, np.int64)
-            at = pa.array(np.repeat(np.arange(len(sigs)), BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column(0).take(at), b.column(2).take(at)], ["bucket", "u", "rank"])
-
-    buckets = unit.select("u", "sig", "rank").mapInArrow(band, "bucket bigint, u bigint, rank int")
-    star = unit.select(F.col("u").alias("star"), F.col("sig").alias("sig2"), F.col("project_root").alias("root2"), F.col("rank").alias("rank2"))
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
-            same = [np.frombuffer(s, np.uint32) == np.frombuffer(t, np.uint32) for s, t in zip(x, y)]
-            ok = [bool(e[: BANDS * ROWS].mean() >= AGREE and e[BANDS * ROWS :].mean() >= NAMED_AGREE) for e in same]
-            yield b.filter(pa.array(ok, pa.bool_()))
-
-    # members that fail against all stars of a round meet the stars of the next, until each bucket is used up
-    left, checked = materialised(buckets), None
-    while True:
-        first = left.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("rank", "u"))).where(F.col("r") <= STARS)
-        stars = first.select("bucket", F.col("u").alias("star"), F.col("rank").alias("star_rank"))
-        rest = materialised(left.join(stars, "bucket").where("struct(star_rank, star) < struct(rank, u)").select("bucket", "u", "rank", "star"))
-        if rest.isEmpty():
-            break
-        links = rest.select("u", "star").distinct()
-        met = links.join(unit, "u").join(star, "star").select("u", "star", "sig", "sig2", "project_root", "rank", "root2", "rank2").mapInArrow(agree, "u bigint, star bigint, sig binary, sig2 binary, project_root string, rank int, root2 string, rank2 int")
-        met = materialised(met.drop("sig", "sig2"))
-        checked = met if checked is None else checked.unionByName(met)
-        done = rest.join(met.select("u", "star"), ["u", "star"]).select("bucket", "u").unionByName(stars.select("bucket", F.col("star").alias("u")))
-        left = materialised(left.join(done.distinct(), ["bucket", "u"], "left_anti"))
-    told = spread(checked) if checked is not None else unit.select("u", F.lit(None).cast("string").alias("reason")).limit(0)
-    linked = seen.where("sig is not null and why is null").withColumn("u", F.xxhash64("project_root", "sig")).join(told, "u").select("_k", "reason")
+            owns, shapes, at, nameds, sizes, literals = [], [], [], [], [], []
+            for i, (k, root, path, lang, text) in enumerate(zip(*(b.column(i).to_pylist() for i in range(5)))):
+                own = None if k is None else own_evidence(path, root, lang, text, house)
+                if own and not valid(lang, text):
+                    continue
+                if sig := signature(text, lang == "python"):
+                    at.append(i), owns.append(own), shapes.append(sig[0]), nameds.append(sig[1].tobytes()), sizes.append(sig[2]), literals.append(sig[3])
+            places = np.array(shapes, np.uint16).reshape(len(at), BANDS * ROWS)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(bands(places, ROWS).ravel()))
+            u = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in places]
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(rows), b.column(1).take(rows), pa.array(owns, pa.string()), pa.array(u, pa.int64()), keys, pa.array([x.tobytes() for x in places[:, :PLACES]], pa.binary()), pa.array(nameds, pa.binary()), pa.array(sizes, pa.int32()), pa.array(literals, pa.float64())],
+                ["_k", "root", "own", "u", "keys", "sig", "named", "shingles", "literal"],
+            )
+
+    seen = materialised(rows.select(*columns).unionByName(known.select(*columns)).mapInArrow(read, f"_k {kind}, root string, own string, u bigint, keys array<bigint>, sig binary, named binary, shingles int, literal double"))
+    units = seen.select("u", "keys", "sig").dropDuplicates(["u"])
+    linked = components(links(units, AGREE))
+    member = seen.drop("keys", "sig").join(linked, "u", "left").withColumn("c", F.coalesce("c", "u"))
+    stats = cluster_stats(member)
+    member = materialised(member.join(stats, "c").where("files > 1").select("c", "_k", "root", "own", "named", "shingles"))
+    told = judged(stats, member.drop("named", "shingles"), copies(member))
+    # a cluster of one, and a member that its cluster says nothing of, is decided by what it shows itself
+    alone = seen.where("own is not null").select("_k", "own", F.lit(None).cast("bigint").alias("cluster"))
+    found = told.select("_k", "reason", "own", "c", "files")
+    by_self = alone.join(found.select("_k"), "_k", "left_anti").select("_k", F.col("own").alias("reason"), "own", F.col("cluster").alias("c"), F.lit(1).cast("bigint").alias("files"))
+    found = found.unionByName(by_self)
     # files without evidence of their own have not been parsed yet; those few are looked up again
-    again = rows.join(linked.dropDuplicates(["_k"]), "_k").select("_k", "language", "content", "reason")
+    later = rows.select("_k", "language", "content").join(found.where("own is null").dropDuplicates(["_k"]), "_k").select("_k", "language", "content", "reason", "c", "files")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [valid(lang, t) for lang, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], ["_k", "reason"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in (0, 3, 4, 5)], ["_k", "reason", "c", "files"]).filter(pa.array(ok, pa.bool_()))
+
+    parsed = found.where("own is not null").select("_k", "reason", "c", "files").unionByName(later.mapInArrow(parse, f"_k {kind}, reason string, c bigint, files bigint"))
+    best = F.max(F.struct("files", "reason", "c")).alias("b")
+    return parsed.groupBy("_k").agg(best).select(F.col("_k").alias(key), "b.reason", F.col("b.c").alias("cluster"), F.col("b.files").alias("cluster_files"))
+
+
+def cluster_stats(member: DataFrame) -> DataFrame:
+    """``c, files, literal, generated, minified, data``: size of a cluster, mean share of literals, shares of marked members."""
+    share = [F.avg((F.coalesce("own", F.lit("")) == w).cast("int")).alias(w) for w in ("generated", "minified", "data")]
+    return member.groupBy("c").agg(F.count(F.lit(1)).alias("files"), F.avg("literal").alias("literal"), *share)
 
-    found = own.unionByName(again.mapInArrow(parse, f"_k {kind}, reason string"))
-    return found.groupBy("_k").agg(F.min("reason").alias("reason")).withColumnRenamed("_k", key)
+
+def copies(member: DataFrame) -> DataFrame:
+    """``_k, foreign, tool``: whether a member's own wording stands in the catalog, a vendored file or another repository, or in a generated file.
+
+    The named signatures of a cluster are banded in turn. A bucket keeps at most five of them, one each for its
+    first and last repository, the catalog, the vendored and the generated files; these aggregates are what its
+    members are verified against, so no pair of members is formed.
+    """
+    kind = member.schema["_k"].dataType.simpleString()
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = bands(stacked(b.column(4)), NAMED_ROWS) if b.num_rows else np.zeros((0, 1), np.int64)
+            at = pa.array(np.repeat(np.arange(len(h)), h.shape[1]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(6)), pa.array(h.ravel())], ["c", "_k", "root", "own", "named", "shingles", "band"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            foreign, tool = [], []
+            for root, named, n, lo, hi, *known in zip(*(b.column(i).to_pylist() for i in range(1, 9))):
+                own = np.frombuffer(named, np.uint16)
+                like = lambda other, least: other is not None and (own == np.frombuffer(other, np.uint16)).mean() >= least  # noqa: B023, E731
+                cat, ven, gen = known
+                others = [x["named"] for x in (lo, hi) if x is not None and x["root"] != root] + [ven]
+                foreign.append(like(cat, NAMED_AGREE if n >= LEAST_SHINGLES else 1.0) or n >= LEAST_SHINGLES and any(like(x, NAMED_AGREE) for x in others))
+                tool.append(n >= LEAST_SHINGLES and like(gen, NAMED_AGREE))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(foreign, pa.bool_()), pa.array(tool, pa.bool_())], ["_k", "foreign", "tool"])
+
+    rows = member.select("c", "_k", F.coalesce("root", F.lit("")).alias("root"), F.coalesce("own", F.lit("")).alias("own"), "named", "shingles")
+    each = materialised(rows.mapInArrow(keys, f"c bigint, _k {kind}, root string, own string, named binary, shingles int, band bigint"))
+    file, place = F.col("_k").isNotNull(), F.struct("root", "named")
+    kept = each.groupBy("c", "band").agg(
+        F.min(F.when(file, place)).alias("lo"),
+        F.max(F.when(file, place)).alias("hi"),
+        F.min(F.when(~file, F.col("named"))).alias("cat"),
+        F.min(F.when(F.col("own") == "vendored", F.col("named"))).alias("ven"),
+        F.min(F.when(F.col("own") == "generated", F.col("named"))).alias("gen"),
+    )
+    kept = kept.where("lo.root <> hi.root or cat is not null or ven is not null or gen is not null")
+    told = each.where(file).join(kept, ["c", "band"]).select("_k", "root", "named", "shingles", "lo", "hi", "cat", "ven", "gen")
+    return told.mapInArrow(verify, f"_k {kind}, foreign boolean, tool boolean").groupBy("_k").agg(F.max("foreign").alias("foreign"), F.max("tool").alias("tool"))
+
+
+def judged(stats: DataFrame, member: DataFrame, copied: DataFrame) -> DataFrame:
+    """``_k, own, reason, c, files`` of the members that the verdict on their cluster holds for."""
+    own = F.coalesce("own", F.lit(""))
+    reason = (
+        F.when((F.col("literal") >= LITERAL) & (own == "data"), "data")
+        .when((F.col("generated") >= MARKED) & ((own == "generated") | F.col("tool")), "generated")
+        .when((F.col("minified") >= MARKED) & (own == "minified"), "minified")
+        .when((F.col("generated") + F.col("minified") + F.col("data") >= MARKED) & own.isin("generated", "minified", "data"), own)
+        .when(F.col("foreign") & (F.col("literal") < LITERAL), F.when(own.isin("generated", "minified", "data"), own).otherwise("vendored"))
+        .when(F.col("tool"), "generated")
+    )
+    rows = member.where("_k is not null").join(stats, "c").join(copied, "_k", "left").withColumn("foreign", F.coalesce("foreign", F.lit(False))).withColumn("tool", F.coalesce("tool", F.lit(False)))
+    return rows.select("_k", "own", reason.alias("reason"), "c", "files").where("reason is not null")
