@@ -1,6 +1,6 @@
 import pytest
 
-from codeprism.llm import documented, generated, prose, residue
+from codeprism.llm import clusters, documented, generated, prose, residue
 
 LANGS = [("typescript", [".ts"]), ("javascript", [".js"]), ("python", [".py"]), ("go", [".go"]), ("rust", [".rs"]), ("java", [".java"]), ("json", [".json"])]
 
@@ -167,11 +167,89 @@ def test_a_star_hides_no_copies_behind_it(spark, languages):
     assert {r["file_id"]: r["reason"] for r in generated.classified(df, languages, catalog).collect()} == {1: "vendored", 2: "vendored"}
 
 
-def test_what_is_known_spreads_over_links(spark):
-    links = [(2, 1, 3, 3, "/r1", "/r1"), (3, 1, 3, 3, "/r2", "/r1"), (4, 2, 3, 3, "/r1", "/r1"), (11, 10, 3, 2, "/r5", "/r5"), (12, 11, 3, 3, "/r5", "/r5"), (21, 20, 3, 3, "/r6", "/r6")]
-    df = spark.createDataFrame(links, "u long, star long, rank int, rank2 int, project_root string, root2 string")
-    got = {r["u"]: r["reason"] for r in generated.spread(df).collect()}
-    assert got == {1: "vendored", 2: "vendored", 3: "vendored", 4: "vendored", 10: "generated", 11: "generated", 12: "generated"}
+def test_an_altered_copy_in_the_same_repository_is_vendored_too(spark, languages):
+    lib = "\n".join(f"export function lib{'klmnopqrst'[i]}(data) {{\n  const v{i} = data.get({i * 91 + 3});\n  while (v{i} < {i}) {{\n    data.step(v{i}, \"{i}s\");\n  }}\n  return data.end({i * 7});\n}}" for i in range(10))
+    texts = [(1, "/r1", lib), (2, "/r1", lib.replace("libk", "libOther")), (3, "/r2", lib)]
+    df = spark.createDataFrame([(i, r, f"{r}/src/a{i}.ts", t) for i, r, t in texts], "file_id long, project_root string, path string, content string")
+    catalog = spark.createDataFrame([], "item_id long, file_name string, content string, hash string")
+    got = generated.classified(df, languages, catalog).collect()
+    assert {r["file_id"]: r["reason"] for r in got} == {1: "vendored", 2: "vendored", 3: "vendored"}
+    assert len({r["cluster"] for r in got}) == 1 and {r["cluster_files"] for r in got} == {3}
+
+
+def test_components_against_union_find(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(900 + i, 901 + i) for i in range(40)] + [(1000, 1001 + i) for i in range(60)]
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    got = {r["u"]: r["c"] for r in clusters.components(spark.createDataFrame(edges, "u long, star long")).collect()}
+    loose = {a for a, b in edges if a == b}
+    assert got == {x: top(x) for x in up if x not in loose or x in got}
+    assert clusters.components(spark.createDataFrame([], "u long, star long")).count() == 0
+
+
+def test_links_join_what_brute_force_joins(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 60000, (12, 64)).astype(np.uint16)
+    rows = []
+    for i in range(240):  # families around twelve signatures, some rows far from all
+        x = base[i % 12].copy()
+        x[rng.choice(64, rng.integers(0, 10 if i % 5 else 40), replace=False)] = rng.integers(0, 60000)
+        rows.append(x)
+    x = np.unique(np.array(rows), axis=0)
+    keys = clusters.bands(x, 4)
+    df = spark.createDataFrame([(i * 7919 - 1000, k.tolist(), s.tobytes()) for i, (k, s) in enumerate(zip(keys, x))], "u long, keys array<long>, sig binary")
+    got = {(r["u"], r["star"]) for r in clusters.links(df, 0.8).collect()}
+    near = {(i, j) for i in range(len(x)) for j in range(len(x)) if i != j and (x[i] == x[j]).mean() >= 0.8}
+    place = {i * 7919 - 1000: i for i in range(len(x))}
+    assert got and {(place[a], place[b]) for a, b in got} <= near
+
+    def groups(pairs):
+        up = list(range(len(x)))
+        for a, b in pairs:
+            while up[a] != a:
+                a = up[a]
+            while up[b] != b:
+                b = up[b]
+            up[max(a, b)] = min(a, b)
+        out = []
+        for i in range(len(x)):
+            while up[i] != i:
+                i = up[i]
+            out.append(i)
+        return out
+
+    own = groups((place[a], place[b]) for a, b in got)
+    assert np.mean([own[a] == own[b] for a, b in near]) >= 0.97  # two members of different stars may stay apart
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("Dear <customer name>, your order of [PRODUCT] is on the way.", "slot"),
+        ("We could not reach the database. Please try again later.", "error"),
+        ("Votre session a expiré. Veuillez vous reconnecter.", "error"),
+        ("Home | Docs | Search\n\n[object Object]\n\n[object Object], NaN refs", "stub"),
+        ("502 Bad Gateway\n\nproxy at some.host.example", "error"),
+        ("Pulvin telluris sitam adipar sitam pulvin donec orcanum noctem mollit quonda.", "filler"),
+        ("The reader could not reach the cache, so it takes the slow way. It is tried again each hour, and the log tells how long that took.", None),
+        ("Set `ORDER_ID` for the run and see the table [here](x) for the names.", None),
+    ],
+)
+def test_more_texts_without_content(text, kind):
+    assert residue.missing(text) == kind
 
 
 def test_functions_inside_arrows_and_methods():
