@@ -6,9 +6,10 @@
    neighbours. From these the margin is calibrated: leaves are visited in best-bin-first order, wider
    and wider, until ``recall`` of the true neighbours has been reached.
 4. Every vector is filed in its home leaf and asked of each leaf within the margin; a visit serves both
-   sides, the asked vector and the rows of the leaf. A leaf is one
-   group of rows; a leaf with more than ``split_rows`` rows is split by a hash of the id, and its
-   queries go to every part, so no task gets more than that, however many copies a vector has.
+   sides, the asked vector and the rows of the leaf. The rows and visits of every leaf are counted first.
+   A leaf with more than ``split_rows`` of either is cut into a grid, rows by one hash of the id and visits
+   by another, so that each row meets each visit in one cell and no group holds more than twice that,
+   however many copies a vector has.
 5. Each leaf answers its queries with exact cosines; the k best of each query are merged.
 """
 
@@ -116,8 +117,8 @@ def _best(s: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.nd
     return r[ok], c.ravel()[ok]
 
 
-def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tuple[np.ndarray, np.ndarray]], k: int, floor: float | None, recall: float) -> dict[str, float]:
-    """The margin of each model that reaches ``recall`` of the probes' true neighbours."""
+def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tuple[np.ndarray, np.ndarray]], k: int, floor: float | None, recall: float) -> dict[str, tuple[float, int]]:
+    """Of each model, the margin that reaches ``recall`` of the probes' true neighbours, and how many those are."""
 
     def run(batches):
         for b in batches:
@@ -137,7 +138,7 @@ def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tupl
     for model, tree in trees.items():
         own = first[first.model == model]
         if not len(own):
-            out[model] = 0.0 if floor is not None else 2.0
+            out[model] = (0.0 if floor is not None else 2.0), 0
             continue
         ids, q = probes[model]
         near = np.frombuffer(b"".join(own.v), np.float32).reshape(-1, widths[model])
@@ -147,7 +148,7 @@ def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tupl
         there = _needed(tree, q, of, tree.home(near))
         back = _needed(tree, near, np.arange(len(near)), tree.home(q)[of])
         needed = np.sort(np.minimum(there, back))
-        out[model] = float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1e-4
+        out[model] = float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) + 1e-4, len(needed)
     return out
 
 
@@ -180,12 +181,52 @@ def _search(model: str, ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np
                 yield ids[base][c], asked[w][r], s[r, c]
 
 
-def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.995, leaf_rows: int = 4000, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 256, split_rows: int = 200_000) -> DataFrame:
+def _loads(responses: DataFrame, widths: dict[str, int], trees: dict[str, Tree], margin: dict[str, float]) -> dict[str, np.ndarray]:
+    """Of each model, how many rows each leaf holds and how many visits it gets (leaf x 2)."""
+
+    def run(batches):
+        for b in batches:
+            for model, _, x in usable(b, widths):
+                if model in trees and len(x):
+                    rows, leaves, _ = trees[model].visits(x, margin[model])
+                    home = np.bincount(trees[model].home(x), minlength=trees[model].leaves)
+                    every = np.bincount(leaves, minlength=trees[model].leaves)
+                    at = np.flatnonzero(every)
+                    yield pa.RecordBatch.from_arrays([pa.array([model] * len(at)), pa.array(at), pa.array(home[at]), pa.array(every[at])], ["model", "leaf", "held", "visits"])
+
+    out = {m: np.zeros((t.leaves, 2), np.int64) for m, t in trees.items()}
+    got = responses.mapInArrow(run, "model string, leaf bigint, held bigint, visits bigint").groupBy("model", "leaf").agg(F.sum("held"), F.sum("visits"))
+    for m, leaf, held, visits in got.collect():  # one row a leaf
+        out[m][leaf] = held, visits
+    return out
+
+
+def grid(ids: np.ndarray, leaf: np.ndarray, home: np.ndarray, by_row: np.ndarray, by_visit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where the visits ``(id, leaf)`` go: ``(visit, row part, visit part, base, asks)``.
+
+    The leaf is cut into ``by_row[leaf] x by_visit[leaf]`` cells. A visit asks in one column of cells; in the
+    home leaf of its id it is also a base row, in one row of them.
+    """
+    at = np.arange(len(ids))
+    r, q = (mixed(ids + 1) * by_row[leaf]).astype(np.int64), (mixed(ids + 2) * by_visit[leaf]).astype(np.int64)
+    one = (by_row[leaf] == 1) & (by_visit[leaf] == 1)
+    parts = [(at[one], r[one], q[one], home[one], np.ones(one.sum(), bool))]
+    for i in range(int(by_row.max(initial=1))):  # asks down the column
+        use = ~one & (by_row[leaf] > i)
+        parts.append((at[use], np.full(use.sum(), i), q[use], home[use] & (r[use] == i), np.ones(use.sum(), bool)))
+    for j in range(int(by_visit.max(initial=1))):  # base along the row, but for the cell where it asks as well
+        use = ~one & home & (by_visit[leaf] > j) & (q != j)
+        parts.append((at[use], r[use], np.full(use.sum(), j), np.ones(use.sum(), bool), np.zeros(use.sum(), bool)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.999, leaf_rows: int = 4000, least_leaves: int = 16, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 512, split_rows: int = 50_000) -> DataFrame:
     """``model, id, neighbour, cosine``: at most k rows for each usable vector, none below ``floor``.
 
     ``responses`` has model, vec_ids and vectors; other columns are ignored. A repeated (model, id) is
     one vector, the vector itself is not among its neighbours, equal cosines go to the smaller id.
-    The sample that grows a model's tree has about ``sample_per_leaf`` vectors a leaf, so at most
+    A leaf is meant to hold ``leaf_rows`` rows, or less where the model would have fewer than ``least_leaves``
+    leaves. The sample that grows a model's tree has about ``sample_per_leaf`` vectors a leaf, so at most
     sample_per_leaf * max_leaves; ``recall`` is the share of the true neighbours (above the floor, if
     there is one) of ``probes`` vectors that the calibrated margin must reach. Without a floor the
     neighbours of unclustered vectors lie everywhere, and the margin widens accordingly.
@@ -196,46 +237,57 @@ def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, re
     empty = spark.createDataFrame([], "model string, id bigint, neighbour bigint, cosine double")
     if not widths:
         return empty
-    leaves = {m: int(min(max_leaves, max(1, n // leaf_rows))) for m, n in counts.items()}
-    share = {m: min(1.0, max(sample_per_leaf * leaves[m], 4 * probes) / counts[m]) for m in counts}
+    size = {m: min(leaf_rows, max(64, n // least_leaves)) for m, n in counts.items()}
+    leaves = {m: int(min(max_leaves, max(1, n // size[m]))) for m, n in counts.items()}
+    share = {m: min(1.0, max(sample_per_leaf * leaves[m], 16 * probes) / counts[m]) for m in counts}
     sample = _sample(source, widths, share)
     trees = {m: grow(x, leaves[m]) for m, (_, x) in sample.items()}
     if not trees:
         return empty
-    asked = {}
-    for m, (ids, x) in sample.items():
-        first = np.argsort(mixed(ids))[:probes]
-        asked[m] = (ids[first], x[first])
-    margin = _calibrate(source, widths, trees, asked, k, floor, recall)
-    parts = {m: max(1, -(-counts[m] // (leaves[m] * split_rows))) for m in counts}
+    margin: dict[str, float] = {}
+    most = probes
+    while len(margin) < len(trees):  # where too few probes have neighbours, more are drawn, the whole sample at most
+        asked = {}
+        for m, (ids, x) in sample.items():
+            if m not in margin:
+                first = np.argsort(mixed(ids))[:most]
+                asked[m] = (ids[first], x[first])
+        got = _calibrate(source, widths, {m: trees[m] for m in asked}, asked, k, floor, recall)
+        margin |= {m: w for m, (w, pairs) in got.items() if pairs >= probes or len(asked[m][0]) == len(sample[m][0])}
+        most *= 4
+    loads = _loads(source, widths, trees, margin)
+    cells = {m: np.maximum(1, -(-load // split_rows)) for m, load in loads.items()}
 
     def file(batches):
         for b in batches:
             for model, ids, x in usable(b, widths):
-                if model not in trees:
+                if model not in trees or not len(x):
                     continue
-                rows, at, _ = trees[model].visits(x, margin[model])
-                home = np.ones(len(rows), bool)
-                home[1:] = rows[np.argsort(rows, kind="stable")][1:] != rows[np.argsort(rows, kind="stable")][:-1]
-                order = np.argsort(rows, kind="stable")  # visits of a row stay in their order
-                rows, at = rows[order], at[order]
+                rows, leaf, _ = trees[model].visits(x, margin[model])
+                order = np.argsort(rows, kind="stable")  # visits of a row stay in their order, its home first
+                rows, leaf = rows[order], leaf[order]
+                home = np.append(True, rows[1:] != rows[:-1])
+                by_row, by_visit = cells[model].T
+                at, r, q, base, asks = grid(ids[rows], leaf, home, by_row, by_visit)
                 data = np.asarray([v.tobytes() for v in x], object)
-                salt = (mixed(ids + 1) * parts[model]).astype(np.int64)
-                for p in range(parts[model]):
-                    # the part that holds the row gets it as base and query, the others as a query
-                    own = home & (salt[rows] == p)
-                    yield pa.RecordBatch.from_arrays([pa.array([model] * len(rows)), pa.array(at * parts[model] + p), pa.array(own), pa.array(ids[rows]), pa.array(data[rows], pa.binary())], ["model", "leaf", "base", "id", "v"])
+                for i in range(0, len(at), 20_000):
+                    w = at[i : i + 20_000]
+                    to = rows[w]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([model] * len(w)), pa.array(leaf[w]), pa.array(r[i : i + 20_000]), pa.array(q[i : i + 20_000]), pa.array(base[i : i + 20_000]), pa.array(asks[i : i + 20_000]), pa.array(ids[to]), pa.array(data[to], pa.binary())],
+                        ["model", "leaf", "r", "q", "base", "asks", "id", "v"],
+                    )
 
     def answer(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("base", ascending=False, kind="stable").drop_duplicates("id")
+        table = table.drop_duplicates("id")  # a repeated response: its rows are equal
         x = np.frombuffer(b"".join(table.v), np.float32).reshape(len(table), -1)
-        ids, base = table.id.to_numpy(), table.base.to_numpy()
-        got = [*_search(key[0], ids[base], x[base], ids, x, k, floor, leaf_rows, margin[key[0]])]
+        ids, base, asks = table.id.to_numpy(), table.base.to_numpy(), table.asks.to_numpy()
+        got = [*_search(key[0], ids[base], x[base], ids[asks], x[asks], k, floor, leaf_rows, margin[key[0]])]
         a, b, s = (np.concatenate(y) for y in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pd.DataFrame({"model": key[0], "id": a, "neighbour": b, "cosine": s.astype(np.float64)})
 
-    filed = source.mapInArrow(file, "model string, leaf bigint, base boolean, id bigint, v binary")
-    found = filed.groupBy("model", "leaf").applyInPandas(answer, "model string, id bigint, neighbour bigint, cosine double")
+    filed = source.mapInArrow(file, "model string, leaf bigint, r bigint, q bigint, base boolean, asks boolean, id bigint, v binary")
+    found = filed.groupBy("model", "leaf", "r", "q").applyInPandas(answer, "model string, id bigint, neighbour bigint, cosine double")
     best = Window.partitionBy("model", "id").orderBy(F.desc("cosine"), "neighbour")
     found = found.groupBy("model", "id", "neighbour").agg(F.max("cosine").alias("cosine"))  # both may have visited the other
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")

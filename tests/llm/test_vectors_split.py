@@ -69,6 +69,34 @@ def test_unusable_vectors_repeats_and_copies(spark):
     assert similar.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_a_hot_leaf_is_cut_into_cells_of_bounded_size():
+    rng = np.random.default_rng(4)
+    ids = np.arange(50_000) * 3
+    leaf, home = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+    by_row, by_visit = np.array([25]), np.array([25])  # of 2,000 rows and visits each
+    at, r, q, base, asks = similar.grid(ids, leaf, home, by_row, by_visit)
+    load = np.zeros((25, 25), int)
+    np.add.at(load, (r, q), 1)
+    assert load.max() <= 2 * 2200
+    assert np.bincount(at[base], minlength=len(ids)).tolist() == [25] * len(ids) and np.bincount(at[asks], minlength=len(ids)).tolist() == [25] * len(ids)
+    # each row meets each visit in exactly one cell
+    for i, j in rng.integers(0, len(ids), (40, 2)):
+        bases = set(zip(r[(at == i) & base].tolist(), q[(at == i) & base].tolist()))
+        visits = set(zip(r[(at == j) & asks].tolist(), q[(at == j) & asks].tolist()))
+        assert len(bases & visits) == 1
+
+
+def test_copies_in_a_hot_leaf_are_found_across_its_cells(spark):
+    x = clustered(200, 16, 6)
+    x = np.concatenate([x, np.repeat(x[:1], 300, axis=0)])
+    ids = np.arange(len(x))
+    near = similar.neighbours(responses(spark, ids, x), k=5, floor=0.99, leaf_rows=50, split_rows=40).toPandas()
+    got = near[near.id >= 200].groupby("id").neighbour.apply(sorted)
+    # of equal cosines the smallest ids win, each row's own left out
+    assert len(got) == 300 and all(len(v) == 5 for v in got) and near.groupby("id").size().max() <= 5
+    assert near.cosine.min() >= 0.99 and not (near.id == near.neighbour).any()
+
+
 def test_tree_visits_in_order_and_reaches_all_leaves():
     x = tree.unit(clustered(2000, 8, 3))
     t = tree.grow(x, 30, branch=6)
