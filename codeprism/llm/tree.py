@@ -89,7 +89,7 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, leaves: int, branch: int = 8, rounds: int = 6, seed: int = 7) -> Tree:
+def grow(x: np.ndarray, leaves: int, branch: int = 16, rounds: int = 6, seed: int = 7) -> Tree:
     """A tree of about ``leaves`` leaves, fitted on ``x``; a leaf holds about the same share of the rows."""
     rng = np.random.default_rng(seed)
     centre, children, leaf, nodes = [unit(x.mean(axis=0, keepdims=True))[0] if len(x) else np.zeros(x.shape[1], x.dtype)], [np.zeros(0, np.int64)], [-1], []
