@@ -10,11 +10,14 @@ which is associative, so the pieces of a long file may be reduced anywhere and i
 
 A piece does not know whether it begins inside a comment, template or other token that runs over
 lines. Its map therefore has an entry for each state it could begin in: (state at its end, residue).
+Texts that are at hand as a whole are cut between tokens (``lines``), so that strings continued over a
+line, templates in templates and raw strings stay whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 #: Kinds common to all languages.
@@ -69,6 +72,15 @@ class Language:
     def lexed(self, text: str) -> str:
         return "".join(map(self.kinds.__getitem__, self.token.findall(text)))
 
+    def lines(self, text: str) -> Iterator[int]:
+        """Where lines begin between two tokens: a piece that begins there begins in no comment, string or template."""
+        token, at = self.token if isinstance(self.token, re.Pattern) else self.token.pattern, 0
+        for m in token.finditer(text):
+            gap = text.rfind("\n", at, m.end() if m.group() == "\n" else m.start()) + 1
+            if gap > at or gap and gap == m.end():
+                yield gap
+            at = m.end()
+
     def close(self, kind: str, inside: str) -> str:
         """The group of a bracket, BAD if its inside can play no part."""
         key = kind + inside

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hosted
+from .elements import without_elements
 
 #: language of the table `languages` -> module with its grammar
-GRAMMARS = {"typescript": "script", "tsx": "script", "javascript": "script", "go": "golang", "rust": "rust", "java": "java"}
+GRAMMARS = {"json": "data", "typescript": "script", "tsx": "script", "javascript": "script", "go": "golang", "rust": "rust", "java": "java"}
 LEAD = re.compile(r"\A﻿?(?:#!(?![ \t]*\[)[^\n]*)?")
 PIECE = 1 << 18
 
@@ -27,26 +28,34 @@ def grammar(language: str):
     return import_module(f"{__package__}.{GRAMMARS[language]}").LANGUAGE
 
 
-def valid(language: str, text: str) -> bool:
-    """Whether a whole file is valid. A byte-order mark and a ``#!`` line in front are; so is nothing at all."""
-    text = LEAD.sub("", text, count=1)
-    if language == "python":
-        return hosted.python_valid(text)
-    if language == "json":
-        return hosted.json_valid(text)
+def plain(language: str, text: str) -> str:
+    """``text`` without byte-order mark, ``#!`` line and carriage returns, elements of JSX replaced."""
+    text = LEAD.sub("", text, count=1) if language != "json" else text.removeprefix("\ufeff")
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
-    return grammar(language).valid(text)
+    return without_elements(text) if language in ("tsx", "javascript") else text
+
+
+def valid(language: str, text: str) -> bool:
+    """Whether a whole file is valid. A byte-order mark and a ``#!`` line in front are; so is nothing at all.
+
+    Python is judged by the host's parser. Any other file is one piece: of its map the entry for the
+    state at the start of a file is made, and reduced.
+    """
+    if language == "python":
+        return hosted.python_valid(LEAD.sub("", text, count=1))
+    return grammar(language).valid(plain(language, text))
 
 
-def cut(text: str, size: int = PIECE) -> list[str]:
-    """Pieces of about ``size`` characters that end with a line, an over-long line being a piece."""
+def cut(language: str, text: str, size: int = PIECE) -> list[str]:
+    """Pieces of about ``size`` characters that begin with a line, between two tokens."""
     out, start = [], 0
-    while start < len(text):
-        stop = text.find("\n", start + size) + 1 or len(text)
-        out.append(text[start:stop])
-        start = stop
-    return out or [""]
+    if len(text) > size:
+        for at in grammar(language).lines(text):
+            if at - start >= size:
+                out.append(text[start:at])
+                start = at
+    return [*out, text[start:]]
 
 
 def with_language(files: DataFrame, languages: DataFrame) -> DataFrame:
@@ -60,12 +69,13 @@ def verdicts(files: DataFrame, languages: DataFrame, key: str = "file_id", long:
     """``key, project_root, language, valid`` of every file whose content and language are known.
 
     Null contents, null paths and unknown extensions give no row; a repeated delivery gives one row.
-    A file of more than ``long`` characters in a language with brackets is cut into pieces, which are
-    spread over all tasks, mapped on their own, and put together by an associative reduction.
+    A file of more than ``long`` characters, but for Python, is cut into pieces between tokens, which are
+    spread over all tasks, mapped on their own, and put together by an associative reduction; the verdict
+    is that of the whole file.
     """
     rows = with_language(files.select(F.col(key).alias("_k"), "project_root", "path", "content").where("content is not null"), languages)
     rows = rows.select("_k", "project_root", "language", "content")
-    pieced = (F.length("content") > long) & ~F.col("language").isin("python", "json")
+    pieced = (F.length("content") > long) & (F.col("language") != "python")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,7 +85,7 @@ def verdicts(files: DataFrame, languages: DataFrame, key: str = "file_id", long:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, (lang, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                parts = cut(LEAD.sub("", t, count=1).replace("\r\n", "\n").replace("\r", "\n"))
+                parts = cut(lang, plain(lang, t), min(PIECE, long))
                 n = len(parts)
                 one = b.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([one.column(0)] * n), pa.concat_arrays([one.column(1)] * n), pa.array([lang] * n), pa.array(range(n), pa.int32()), pa.array(parts)], ["_k", "project_root", "language", "piece", "text"])

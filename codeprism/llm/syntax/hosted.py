@@ -1,16 +1,10 @@
-"""Python and JSON: the host's own parsers, which are written in C, are the local grammars here."""
+"""Python: the host's own parser, which is written in C, is the grammar here."""
 
 from __future__ import annotations
 
-import json
-import re
 import symtable
 import warnings
 
-STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[\da-fA-F]{4}))*+"'
-NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])"
-JSON_TOKEN = re.compile(rf"[ \t\r\n]*+(?:(?P<s>{STRING})|(?P<v>{NUMBER}|true\b|false\b|null\b)|(?P<m>[\[\]{{}}:,])|(?P<e>\Z))")
-
 
 def python_valid(text: str) -> bool:
     """Whether ``text`` is a Python module; names, scopes and types do not matter."""
@@ -30,49 +24,3 @@ def python_valid(text: str) -> bool:
             return False
         except (MemoryError, RecursionError):
             return True  # nested too deeply for the host, which is no error of syntax
-
-
-def _constant(name: str):
-    raise ValueError(name)
-
-
-def json_valid(text: str) -> bool:
-    """Whether ``text`` is one JSON value; a blank text stands for an empty file and is valid."""
-    if not text.strip():
-        return True
-    try:
-        json.loads(text, parse_constant=_constant)
-        return True
-    except ValueError:
-        return False
-    except RecursionError:
-        return json_deep(text)
-
-
-def json_deep(text: str) -> bool:
-    """The same by a stack instead of recursion, for very deep nesting."""
-    stack: list[str] = []
-    at, state = 0, "value"  # what may come next
-    while True:
-        m = JSON_TOKEN.match(text, at)
-        if not m:
-            return False
-        at, kind, t = m.end(), m.lastgroup, m.group(m.lastgroup)
-        if kind == "e":
-            return state == "after" and not stack
-        if kind in "sv" and state in ("value", "first"):
-            state = "after"
-        elif kind == "s" and state in ("key", "firstkey"):
-            state = "colon"
-        elif t == ":" and state == "colon":
-            state = "value"
-        elif t in "[{" and kind == "m" and state in ("value", "first"):
-            stack.append(t)
-            state = "first" if t == "[" else "firstkey"
-        elif t == "]" and state in ("after", "first") and stack and stack[-1] == "[" or t == "}" and state in ("after", "firstkey") and stack and stack[-1] == "{":
-            stack.pop()
-            state = "after"
-        elif t == "," and state == "after" and stack:
-            state = "value" if stack[-1] == "[" else "key"
-        else:
-            return False

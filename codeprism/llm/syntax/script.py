@@ -55,7 +55,21 @@ ASSIGN = {"+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=",
 OPENED_COMMENT, OPENED_TEMPLATE = "\x01", "\x02"
 
 REGEX = r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*"
-TEMPLATE = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\})*+"
+STRINGS = r"\"(?:[^\"\\\n]|\\[\s\S])*+\"|'(?:[^'\\\n]|\\[\s\S])*+'"
+
+
+def template(depth: int) -> str:
+    """A template without its closing mark, whose braces may hold templates of one depth less."""
+    return rf"`(?:[^`\\$]|\\[\s\S]|\$(?!\{{)|\${braces(depth)})*+"
+
+
+def braces(depth: int) -> str:
+    inner = rf"|{template(depth - 1)}`|{braces(depth - 1)}" if depth else ""
+    return rf"\{{(?:[^{{}}`\"'/]|{STRINGS}|//[^\n]*|/\*[\s\S]*?\*/|[\"'/]{inner})*+\}}"
+
+
+TEMPLATE = template(3)
+HOLES = re.compile(rf"\\[\s\S]|\$({braces(3)})")
 TOKEN = re.compile(
     r"[A-Za-z_$ª-\U0010ffff][\w$‌‍]*"
     r"|\n|//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?"
@@ -86,7 +100,9 @@ def classify(t: str) -> str:
     if c in "\"'":
         return "s" if len(t) > 1 and t[-1] == c else BAD
     if c == "`":
-        return "t" if len(t) > 1 and t[-1] == "`" else OPENED_TEMPLATE
+        if len(t) < 2 or t[-1] != "`":
+            return OPENED_TEMPLATE
+        return "t" if "${" not in t or all(expression(m.group(1)[1:-1]) for m in HOLES.finditer(t, 1, len(t) - 1) if m.group(1)) else BAD
     if c == "#":
         return "a" if len(t) > 1 else BAD
     if t in MARKS:
@@ -102,6 +118,12 @@ def classify(t: str) -> str:
     return BAD
 
 
+def expression(text: str) -> bool:
+    """Whether what stands in the braces of a template is an expression, or a type."""
+    kinds = LANGUAGE.reduced(LANGUAGE.lexed(text))
+    return BAD not in kinds and FILLING.fullmatch(before(kinds)) is not None
+
+
 # parts of brackets
 ARGS, PAREN, PARAMS, HEAD, TPAREN = 1, 2, 4, 8, 16
 LIST, TLIST = 1, 2
@@ -177,6 +199,9 @@ def full(x: str) -> re.Pattern:
     return re.compile(x)
 
 
+FILLING = full(rf"{SEQ}|{TYPEX}")
+
+
 LANGUAGE = Language(
     "script",
     TOKEN,

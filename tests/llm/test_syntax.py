@@ -1,7 +1,10 @@
 import ast
+import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from codeprism.llm.syntax import files, hosted
 
@@ -64,12 +67,70 @@ def test_pieces_reduce_to_the_whole():
             assert g.whole(*maps[0][""]) == g.valid(t), t
 
 
-def test_json_with_a_stack():
-    for t in GOOD["json"] + BAD["json"] + ['{"a":{"b":[]}}', '{"a":1,}', "[[", "]"]:
-        t = t.lstrip("\ufeff")
-        if t.strip():
-            assert hosted.json_deep(t) == hosted.json_valid(t), t
-    assert hosted.json_valid("[" * 200_000 + "]" * 200_000) and not hosted.json_valid("[" * 200_000)
+AWKWARD = [
+    "const s = 'abc\\\ndef';\nf(1);\n",
+    "const t = `a ${\n b +\n c\n} d\n e`;\nlet x = `p ${ q ? `r ${\n s('}')\n}` : '`' } t`;\n",
+    "/* a\n { b */ f(/[}]/,\n 'c');\nconst r = a /\n b / c;\n",
+    "const s = `x ${\n const ) } y`;\n",
+]
+RAW = ['fn f() {\n    let a = r#"x\n { " y\n"#;\n    g(a);\n}\n', 'const A: &str = "b\n c";\n/* d /* e */\n } */\nfn f() {}\n', 'fn f() {\n    let a = r#"x\n";\n']
+
+
+def test_files_cut_at_every_line_have_the_verdict_of_the_whole():
+    rnd = random.Random(2)
+    cases = [("typescript", t) for t in GOOD["typescript"] + BAD["typescript"] + AWKWARD] + [("rust", t) for t in GOOD["rust"] + BAD["rust"] + RAW] + [(x, t) for x in ("go", "java", "json") for t in GOOD[x] + BAD[x]]
+    for lang, text in cases:
+        g = files.grammar(lang)
+        parts = files.cut(lang, files.plain(lang, text), 1)
+        assert "".join(parts) == files.plain(lang, text)
+        maps = [g.piece(x) for x in parts]
+        while len(maps) > 1:
+            i = rnd.randrange(len(maps) - 1)
+            maps[i : i + 2] = [g.joined(maps[i], maps[i + 1])]
+        assert g.whole(*maps[0][""]) == files.valid(lang, text), text
+    assert len(files.cut("typescript", AWKWARD[1], 1)) == 3 and len(files.cut("rust", RAW[0], 1)) > 2
+
+
+@given(st.recursive(st.none() | st.booleans() | st.floats(allow_nan=False, allow_infinity=False) | st.integers() | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=12), st.data())
+@settings(max_examples=150, deadline=None)
+def test_json_agrees_with_the_host(value, data):
+    text = json.dumps(value, ensure_ascii=data.draw(st.booleans()), indent=data.draw(st.sampled_from([None, 1])))
+    assert files.valid("json", text)
+    at = data.draw(st.integers(0, len(text)))
+    text = text[:at] + data.draw(st.sampled_from(["", ",", "]", "{", '"', "1", "x"])) + text[at + data.draw(st.integers(0, 1)) :]
+    if text.strip():
+        try:
+            json.loads(text, parse_constant=lambda _: 1 / 0)
+            want = True
+        except (ValueError, ZeroDivisionError):
+            want = False
+        assert files.valid("json", text) == want, text
+
+
+def test_deep_json():
+    assert files.valid("json", "[" * 100_000 + "]" * 100_000) and not files.valid("json", "[" * 100_000)
+
+
+ELEMENTS = [
+    'const a = <div className="x">hello world</div>;',
+    "export default function A(p: P) {\n  return (\n    <ul {...p} onClick={() => go(1)}>\n      {xs.map((x) => <li key={x}>it's {x} &amp; more</li>)}\n      <B.C />\n      {/* none */}\n    </ul>\n  );\n}\n",
+    "const b = <></>;\nconst c = x ? <A/> : <B y=\"1\" z='2'/>;",
+    'const f = (a: number) => a < 3 && b > 4;\nlet s = "</div>";',
+    "const g = <T,>(x: T) => x;",
+]
+NO_ELEMENTS = ["const a = <div>hello</span>;", "const a = <div a={}>x</div>;", "const a = <div>{x y}</div>;", "const a = <div>;", "<!doctype html>\n<html></html>"]
+
+
+def test_elements_in_scripts():
+    for t in ELEMENTS:
+        assert files.valid("tsx", t), t
+    for t in NO_ELEMENTS:
+        assert not files.valid("tsx", t), t
+
+
+def test_what_stands_in_a_template_is_parsed():
+    assert files.valid("typescript", "const s = `a ${b ? `c ${d.e(\"}\")} f` : `${g}`} h`;") and files.valid("typescript", "type A = `${B}-${C}`;")
+    assert not files.valid("typescript", "const s = `x ${ const ) } y`;") and not files.valid("typescript", "const s = `x ${ } y`;")
 
 
 def test_python_agrees_with_the_host():
