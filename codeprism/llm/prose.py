@@ -92,7 +92,7 @@ def spans(language: str, text: str) -> Iterator[str]:
         if (c := m.group("c")) is not None:
             if len(c) > 8:
                 yield MARK.sub("", c)
-        elif (s := m.group("s")) is not None and len(s) > 12:
+        elif (s := m.group("s")) is not None and len(s) >= LEAST_CHARS + 2:
             parts = []
             for lit in LITERAL.findall(s):
                 q = lit.lstrip("rRbBuUfF")
@@ -104,7 +104,7 @@ def spans(language: str, text: str) -> Iterator[str]:
 
 def sentences(span: str) -> Iterator[str]:
     """Sentences of a span without tags, names, paths, code and SQL; a line that begins with a mark stands alone."""
-    if len(span.split()) < LEAST_WORDS and not UNSPACED.search(span):
+    if len(span.split()) < LEAST_WORDS and len(UNSPACED.findall(span)) < LEAST_CHARS:
         return
     if "TODO" in span or "FIXME" in span:
         span = TODO.sub(r"\g<0>\n\n", span)
@@ -112,7 +112,7 @@ def sentences(span: str) -> Iterator[str]:
     if SQL.match(span) and not re.search(r"[.!?]\s", span):
         return
     for part in END.split(NOISE.sub(" ", span)):
-        if len(part) >= LEAST_CHARS:
+        if len(part) >= 4:
             yield " ".join(part.split())
 
 
@@ -146,6 +146,11 @@ class Detector:
             got = self.known[sentence] = self._language(sentence)
         return got
 
+    @staticmethod
+    def short(s: str) -> bool:
+        """Whether a sentence ends as one and has too few words for a verdict."""
+        return s[-1:] in tuple(".!?。！？…") and not s.isupper() and len(UNSPACED.findall(s)) < LEAST_CHARS and len(WORD.findall(s)) < LEAST_WORDS
+
     def _language(self, s: str) -> str | None:
         unspaced = len(UNSPACED.findall(s))
         letters = sum(c.isalpha() for c in s)
@@ -181,9 +186,15 @@ def languages_of(language: str, text: str, detector: Detector) -> Counter:
     """Characters of running text by language; text of one span counts from six words of a language on."""
     out: Counter = Counter()
     for span in spans(language, text):
+        short: list[str] = []
         for s in sentences(span):
             if lang := detector.language(s):
                 out[lang] += len(s)
+            elif detector.short(s):
+                short.append(s)
+        # neighbouring sentences too short to tell count as one text
+        if len(short) > 1 and (lang := detector.language(" ".join(short))):
+            out[lang] += sum(map(len, short))
     return out
 
 

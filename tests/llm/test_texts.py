@@ -260,3 +260,10 @@ def test_functions_inside_arrows_and_methods():
 def test_a_docstring_on_the_line_of_its_def(spark, languages):
     df = spark.createDataFrame([("a", "/a.py", 'def f(x): "Gives the area of a circle."\n', None)], "id string, path string, content string, docstring string")
     assert [tuple(r)[:2] for r in documented.documented(df, languages).collect()] == [("a", "f")]
+
+
+def test_short_sentences_of_one_span_count_together():
+    detector = prose.Detector(SAMPLES)
+    assert set(prose.languages_of("typescript", "// Reads the file. Returns the hash of it.\nf();\n", detector)) == {"en"}
+    assert set(prose.languages_of("typescript", 'f("文件读取器按照得分排");', detector)) == {"zh"}
+    assert not prose.languages_of("typescript", "// Reads the file.\nf();\n// Code made by a tool; DO NOT EDIT.\n", detector)
