@@ -56,7 +56,7 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_pairs(spark, d).select("chunk_id", "function_name")
+    return p6_pairs(spark, d).select("chunk_id", "function_name").distinct()
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -267,3 +267,9 @@ def test_short_sentences_of_one_span_count_together():
     assert set(prose.languages_of("typescript", "// Reads the file. Returns the hash of it.\nf();\n", detector)) == {"en"}
     assert set(prose.languages_of("typescript", 'f("文件读取器按照得分排");', detector)) == {"zh"}
     assert not prose.languages_of("typescript", "// Reads the file.\nf();\n// Code made by a tool; DO NOT EDIT.\n", detector)
+
+
+def test_overloads_are_all_kept(spark, languages):
+    text = "class A {\n  /** Opens the file that the caller names. */\n  void open(String a) { x(); }\n  /** Opens the stream and keeps its place. */\n  void open(Stream b) { y(); }\n}\n"
+    df = spark.createDataFrame([("a", "/a.java", text, None)] * 2, "id string, path string, content string, docstring string")
+    assert [r["function_name"] for r in documented.documented(df, languages).collect()] == ["open", "open"]
