@@ -78,15 +78,20 @@ def tokens(text) -> Column:
 
 
 def complexity(code) -> Column:
-    """One more than the branches and short-circuit operators in a piece of code (comments included)."""
-    return F.lit(1) + F.regexp_count(code, F.lit(r"\b(?:if|for|while|case|catch|except|elif)\b|&&|\|\||\?\?"))
+    """One more than the branches and short-circuit operators in a piece of code, but for strings and slashed comments."""
+    bare = F.regexp_replace(F.regexp_replace(code, r"\\.", ""), r"(?s)\"[^\"\n]*\"|'[^'\n]*'|//[^\n]*|/\*.*?\*/", " ")  # no groups are repeated, so the stack stays flat
+    return F.lit(1) + F.regexp_count(bare, F.lit(r"\b(?:if|for|while|case|catch|except|elif)\b|&&|\|\||\?\?"))
+
+
+# fixed values: what a query asks for, the first that matches
+INTENTS = {"DEFINITION": "where is|what is|define", "FLOW": "how does|how is|implementation", "USAGE": "example|how to use|usage", "ARCHITECTURE": "architecture|system|overview"}
 
 
 def agreed_intent(query: str) -> str:
     """DEFINITION, FLOW, USAGE, ARCHITECTURE or GENERAL, the first that matches."""
     import re
 
-    for name, pattern in (("DEFINITION", "where is|what is|define"), ("FLOW", "how does|how is|implementation"), ("USAGE", "example|how to use|usage"), ("ARCHITECTURE", "architecture|system|overview")):
+    for name, pattern in INTENTS.items():
         if re.search(pattern, query.lower()):
             return name
     return "GENERAL"

@@ -40,19 +40,19 @@ def file_edges(c: DataFrame) -> DataFrame:
     return refs.join(one, ["project_root", "symbol"]).where("src <> dst").select("project_root", "src", "dst").distinct()
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node, component``: strongly connected components of two nodes or more, named by their largest node.
 
     Nodes without an edge in or out are trimmed away; then the largest name that reaches a node
     colours it, and within a colour the nodes that reach back to the name form its component. Both
-    steps are joins whose state is written each round; everything found is removed and the rest is
-    coloured again. A component holds its members as rows, nothing is collected.
+    steps are joins whose state is written each round, until nothing moves; everything found is removed
+    and the rest is coloured again until no edge is left. A component holds its members as rows, nothing is collected.
     """
     e = materialised(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s <> d").distinct())
     found = None
-    for _ in range(most_rounds):
+    while True:
         before = -1
-        for _ in range(most_rounds):  # trim
+        while True:  # trim
             n = e.count()
             if n == before or n == 0:
                 break
@@ -61,7 +61,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds
         if e.isEmpty():
             break
         colour = materialised(e.select(F.col("s").alias("node")).union(e.select("d")).distinct().withColumn("c", F.col("node")))
-        for _ in range(10 * most_rounds):
+        while True:
             pushed = e.join(colour.withColumnRenamed("node", "s"), "s").groupBy(F.col("d").alias("node")).agg(F.max("c").alias("p"))
             step = materialised(colour.join(pushed, "node", "left").select("node", F.greatest("c", F.coalesce("p", "c")).alias("c"), (F.coalesce("p", "c") > F.col("c")).alias("moved")))
             colour = step.drop("moved")

@@ -13,12 +13,12 @@ WINDOW_LINES, STRIDE = 75, 65
 def line_windows(files: DataFrame, key: str = "file_id", text: str = "content", lines: int = WINDOW_LINES, stride: int = STRIDE) -> DataFrame:
     """``key, chunk_index, start_line, end_line, n_chars``: windows of lines that overlap; a null text has none.
 
-    All in the JVM: the lines of a row are split once and sliced. Tails of less than three lines
-    belong to the window before them, whose last line is then the last of the text.
+    All in the JVM: the lines of a row are split once and sliced. Each stride opens a window, however
+    short the rest is. A line end at the very end opens no line.
     """
     split = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), r"\n\z", ""), "\n")
     rows = files.where(F.col(text).isNotNull()).select(F.col(key), split.alias("_l")).withColumn("_n", F.size("_l"))
-    starts = F.filter(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(stride)), lambda s: (s == 0) | (F.col("_n") - s >= 3) & (s + (lines - stride) < F.col("_n")))
+    starts = F.sequence(F.lit(0), F.col("_n") - 1, F.lit(stride))
     out = rows.select(key, "_l", "_n", F.posexplode(starts).alias("chunk_index", "start_line"))
     stop = F.least(F.col("start_line") + lines, F.col("_n"))
     body = F.array_join(F.slice("_l", F.col("start_line") + 1, stop - F.col("start_line")), "\n")
@@ -60,8 +60,9 @@ def budget_pack(candidates: DataFrame, budget: int, group: str = "grp") -> DataF
     """``group, picked, used, dropped``: what fits a token budget, per group of candidates.
 
     Candidates (grp, idx, tokens, score) are taken by score in steps of 0.02, then the shorter, then
-    the earlier; one that does not fit is skipped. If none fits, the best one is taken alone. A group
-    is the candidate list of one request; its fold runs in the JVM.
+    the earlier; one that does not fit is skipped. If none fits, the one of the highest score itself is
+    taken alone, the earliest of equals. A group is the candidate list of one request, a few hundred rows
+    at most; its fold runs in the JVM.
     """
     order = F.sort_array(F.collect_list(F.struct((-F.round(F.col("score") / 0.02)).alias("s"), "tokens", "idx")))
     start = F.struct(F.array().cast("array<int>").alias("picked"), F.lit(0).cast("bigint").alias("used"))
@@ -70,11 +71,12 @@ def budget_pack(candidates: DataFrame, budget: int, group: str = "grp") -> DataF
         fits = acc["used"] + x["tokens"] <= budget
         return F.struct(F.when(fits, F.concat(acc["picked"], F.array(x["idx"].cast("int")))).otherwise(acc["picked"]).alias("picked"), F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).cast("bigint").alias("used"))
 
-    rows = candidates.groupBy(group).agg(order.alias("o"))
+    first = F.max_by(F.struct("idx", "tokens"), F.struct("score", -F.col("idx")))
+    rows = candidates.groupBy(group).agg(order.alias("o"), first.alias("f"))
     done = rows.withColumn("a", F.aggregate("o", start, take))
     none = F.size("a.picked") == 0
-    picked = F.when(none, F.array(F.col("o")[0]["idx"].cast("int"))).otherwise(F.sort_array("a.picked"))
-    used = F.when(none, F.col("o")[0]["tokens"].cast("bigint")).otherwise(F.col("a.used"))
+    picked = F.when(none, F.array(F.col("f.idx").cast("int"))).otherwise(F.sort_array("a.picked"))
+    used = F.when(none, F.col("f.tokens").cast("bigint")).otherwise(F.col("a.used"))
     return done.select(group, picked.alias("picked"), used.alias("used"), (F.size("o") - F.size(picked)).alias("dropped"))
 
 

@@ -96,11 +96,11 @@ def trace_groups(c: DataFrame, symbol: str) -> DataFrame:
     return e.groupBy("src", "path").agg(F.sort_array(F.collect_set(F.coalesce("start_line", F.lit(0)) + 1)).alias("lines"))
 
 
-def call_sites(c: DataFrame, symbol: str, reach: int = 200) -> DataFrame:
+def call_sites(c: DataFrame, symbol: str) -> DataFrame:
     """``path, line, src``: the first line of each caller that names the symbol as a word (1-based), else its start."""
     own = c.join(edges(c).where(F.col("dst") == symbol).select("id", "src").distinct(), "id")
-    word = rf"(^|[^A-Za-z0-9_]){symbol}([^A-Za-z0-9_]|$)"
-    lines = F.slice(F.split(F.coalesce("content", F.lit("")), "\r?\n"), 1, reach)
+    word = rf"(^|[^A-Za-z0-9_])\Q{symbol}\E([^A-Za-z0-9_]|$)"
+    lines = F.split(F.coalesce("content", F.lit("")), "\r?\n")
     place = F.array_position(F.transform(lines, lambda x: x.rlike(word)), True)
     line = F.coalesce("start_line", F.lit(0)) + F.when(place > 0, place).otherwise(1)
     return own.select("path", line.cast("bigint").alias("line"), "src").groupBy("path", "line").agg(F.min("src").alias("src"))
@@ -123,7 +123,8 @@ def tests_reaching(c: DataFrame, symbols: list[str], depth: int = 3) -> DataFram
     """``path, hops, line, via``: test files that reach the symbols, nearest first.
 
     Hops are counted from the direct use, 0. ``via`` lists the symbols through which a file was
-    reached, by hops and name; a file that only mentions a symbol in its text comes with hops -1.
+    reached, by hops and name. Only where no test reaches any of them, those come that mention a symbol
+    in their text, with hops -1.
     """
     spark = c.sparkSession
     targets = spark.createDataFrame([(s,) for s in symbols], "symbol string")
@@ -140,8 +141,7 @@ def tests_reaching(c: DataFrame, symbols: list[str], depth: int = 3) -> DataFram
         seen = seen.union(level)
     mention = c.where(is_test_path("path") & F.col("content").isNotNull()).crossJoin(F.broadcast(targets)).where(F.expr("contains(content, symbol)"))
     text = mention.select("path", F.lit(-1).alias("hops"), F.coalesce("start_line", F.lit(0)).alias("line"), F.col("symbol").alias("via"))
-    text = text.join(hits.select("path").distinct(), "path", "left_anti")
-    both = hits.unionByName(text)
+    both = text if hits is None or hits.isEmpty() else hits
     nearest = both.groupBy("path").agg(F.min(F.struct("hops", "line")).alias("b"))
     via = both.groupBy("path", "via").agg(F.min("hops").alias("h")).groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "via"))), lambda x: x["via"]).alias("via"))
     return nearest.join(via, "path").select("path", F.col("b.hops").alias("hops"), F.col("b.line").alias("line"), "via")

@@ -41,7 +41,8 @@ def coherence(meta: DataFrame, vector_paths: DataFrame) -> DataFrame:
     """``path, action, rewrite``: whether the stored entry and the vectors of a path agree.
 
     reprocess with rewrite where they contradict each other, reprocess without where the entry has
-    another hash version, stamp where an old entry only lacks its state, else current.
+    another hash version or is an older one of Markdown, whose hash was made otherwise; stamp where an
+    old entry only lacks its state, else current.
     """
     v = vector_paths.select("path").distinct().withColumn("v", F.lit(True))
     rows = meta.select("path", "hash_version", "has_vectors", F.lit(True).alias("m")).join(v, "path", "full")
@@ -50,6 +51,7 @@ def coherence(meta: DataFrame, vector_paths: DataFrame) -> DataFrame:
     action = (
         F.when(F.col("m").isNull() | clash, "reprocess")
         .when(F.col("hash_version").isNotNull() & (F.col("hash_version") != HASH_VERSION), "reprocess")
+        .when(F.col("hash_version").isNull() & F.lower("path").rlike(r"\.mdx?$"), "reprocess")
         .when(F.col("hash_version").isNull() | F.col("has_vectors").isNull(), "stamp")
         .otherwise("current")
     )

@@ -33,7 +33,8 @@ class SearchFilter:
     language: str | None = None
     role: str | None = None
     definition: str | None = None
-    reference: str | None = None
+    reference: str | None = None  # called
+    used: str | None = None  # called or named as a type
     mention: str | None = None
     importer_of: str | None = None
     intent: str | None = None
@@ -72,7 +73,9 @@ class SearchFilter:
         elif self.intent == "DEFINITION":
             parts.append(F.coalesce(F.col("role") == "DEFINITION", F.lit(False)) | (F.coalesce(F.size("defined_symbols"), F.lit(0)) > 0))
         if self.reference:
-            parts.append(has("referenced_symbols", self.reference) | has("type_referenced_symbols", self.reference))
+            parts.append(has("referenced_symbols", self.reference))
+        if self.used:
+            parts.append(has("referenced_symbols", self.used) | has("type_referenced_symbols", self.used))
         if self.mention:
             parts.append(F.coalesce(F.col("content").contains(self.mention), F.lit(False)))
         if self.importer_of:

@@ -65,12 +65,7 @@ def call_sites(spark, d):
 
 
 def caller_tree(spark, d):
-    return graph.caller_tree(corpus(spark, d, *MEMBERS), SYMBOL, 2)
-
-
-def caller_tree_3(spark, d):
-    """All three levels; ``caller_tree`` has the two that its SQL unrolls."""
-    return graph.caller_tree(corpus(spark, d, *MEMBERS), SYMBOL, 3)
+    return graph.caller_tree(corpus(spark, d, *MEMBERS), SYMBOL)
 
 
 def neighbours(spark, d):
@@ -102,13 +97,7 @@ def pagerank_boost(spark, d):
 
 
 def find_tests(spark, d):
-    out = graph.tests_reaching(corpus(spark, d, *LIGHT, "content"), [SYMBOL, "dropEdge"], 2)
-    return out.withColumn("via", F.array_join("via", ","))
-
-
-def find_tests_3(spark, d):
-    """All three levels; ``find_tests`` has the two that its SQL unrolls."""
-    out = graph.tests_reaching(corpus(spark, d, *LIGHT, "content"), [SYMBOL, "dropEdge"], 3)
+    out = graph.tests_reaching(corpus(spark, d, *LIGHT, "content"), [SYMBOL, "dropEdge"])
     return out.withColumn("via", F.array_join("via", ","))
 
 
@@ -170,7 +159,7 @@ def project_longest_prefix(spark, d):
     return analytics.project_of(corpus(spark, d, "path"), table(spark, d, "projects")).select("id", "root")
 
 
-QUERIES = (god_nodes, hub_files, dead_candidates, dead_status, file_edges, file_cycles, symbol_edges, callers, callees, trace_groups, call_sites, caller_tree, caller_tree_3, neighbours, shortest_path, file_subgraph, pagerank_5, pagerank_boost, find_tests, find_tests_3, dependents, related_files, importers, impact_rollup, risk_table, symbols_top, symbols_all, summary_extensions, summary_directories, summary_roles, summary_key_symbols, summary_entry_points, project_status, project_longest_prefix)
+QUERIES = (god_nodes, hub_files, dead_candidates, dead_status, file_edges, file_cycles, symbol_edges, callers, callees, trace_groups, call_sites, caller_tree, neighbours, shortest_path, file_subgraph, pagerank_5, pagerank_boost, find_tests, dependents, related_files, importers, impact_rollup, risk_table, symbols_top, symbols_all, summary_extensions, summary_directories, summary_roles, summary_key_symbols, summary_entry_points, project_status, project_longest_prefix)
 
 
 def queries():
@@ -230,12 +219,13 @@ def oracle_sql():
             FROM n LEFT JOIN d ON d.symbol = n.symbol WHERE n.symbol <> '{SYMBOL}') WHERE k = 1 AND (path IS NOT NULL OR symbol NOT IN {S.BUILTIN})""",
         "trace_groups": f"""{base}, {EDGES} SELECT src, path, array_to_string(list_sort(list(DISTINCT coalesce(start_line, 0) + 1)), ',') AS lines FROM e WHERE dst = '{SYMBOL}' AND src <> dst GROUP BY src, path""",
         "call_sites": f"""{base}, {EDGES}, u AS (SELECT DISTINCT id, src FROM e WHERE dst = '{SYMBOL}'),
-            l AS (SELECT path, src, coalesce(start_line, 0) AS s, list_transform(string_split_regex(coalesce(content, ''), '\\r?\\n')[1:200], lambda x: regexp_matches(x, '(^|[^A-Za-z0-9_]){SYMBOL}([^A-Za-z0-9_]|$)')) AS m FROM c JOIN u USING (id))
+            l AS (SELECT path, src, coalesce(start_line, 0) AS s, list_transform(string_split_regex(coalesce(content, ''), '\\r?\\n'), lambda x: regexp_matches(x, '(^|[^A-Za-z0-9_]){SYMBOL}([^A-Za-z0-9_]|$)')) AS m FROM c JOIN u USING (id))
             SELECT path, s + CASE WHEN coalesce(list_position(m, true), 0) > 0 THEN list_position(m, true) ELSE 1 END AS line, min(src) AS src FROM l GROUP BY ALL""",
         "caller_tree": f"""{base}, {EDGES}, x AS (SELECT DISTINCT src, dst FROM e WHERE src <> 'unknown' AND src <> dst),
             a AS (SELECT src AS symbol, '{SYMBOL}' AS parent, 1 AS hops FROM x WHERE dst = '{SYMBOL}'),
-            b AS (SELECT src AS symbol, min(dst) AS parent, 2 AS hops FROM x WHERE dst IN (SELECT symbol FROM a) AND src NOT IN (SELECT symbol FROM a) AND src <> '{SYMBOL}' GROUP BY src)
-            SELECT * FROM a UNION ALL SELECT * FROM b""",
+            b AS (SELECT src AS symbol, min(dst) AS parent, 2 AS hops FROM x WHERE dst IN (SELECT symbol FROM a) AND src NOT IN (SELECT symbol FROM a) AND src <> '{SYMBOL}' GROUP BY src),
+            b3 AS (SELECT src AS symbol, min(dst) AS parent, 3 AS hops FROM x WHERE dst IN (SELECT symbol FROM b) AND src NOT IN (SELECT symbol FROM a) AND src NOT IN (SELECT symbol FROM b) AND src <> '{SYMBOL}' GROUP BY src)
+            SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM b3""",
         "neighbours": f"{base}, {GRAPH}, {HOPS} SELECT symbol, min(hops) AS hops FROM h WHERE symbol <> '{SYMBOL}' GROUP BY symbol",
         "shortest_path": f"""{base}, {GRAPH}, {HOPS}, m AS (SELECT symbol, min(hops) AS hops FROM h GROUP BY symbol), t AS (SELECT symbol, hops FROM m ORDER BY hops DESC, symbol LIMIT 1)
             SELECT array_to_string(p, '>') AS path, len(p) AS nodes FROM (SELECT h.seen AS p FROM h JOIN t ON t.symbol = h.symbol AND t.hops = h.hops ORDER BY p LIMIT 1)""",
@@ -245,8 +235,9 @@ def oracle_sql():
         "pagerank_5": pagerank_sql(5),
         "find_tests": f"""{base}, y AS (SELECT r.path, r.symbol, coalesce(c.start_line, 0) AS line, c.defs[1] AS own FROM r JOIN c USING (id)), t AS (SELECT unnest(['{SYMBOL}', 'dropEdge']) AS symbol),
             u AS (SELECT y.* FROM y JOIN t USING (symbol)), v AS (SELECT DISTINCT own AS symbol FROM u WHERE own IS NOT NULL AND own NOT IN (SELECT symbol FROM t)), w AS (SELECT y.* FROM y JOIN v USING (symbol)),
-            k AS (SELECT path, 0 AS hops, line, symbol AS via FROM u WHERE {S.is_test('path')} UNION ALL SELECT path, 1, line, symbol FROM w WHERE {S.is_test('path')}),
-            z AS (SELECT * FROM k UNION ALL SELECT c.path, -1, coalesce(c.start_line, 0), t.symbol FROM c, t WHERE {S.is_test('c.path')} AND contains(c.content, t.symbol) AND c.path NOT IN (SELECT path FROM k)),
+            v2 AS (SELECT DISTINCT own AS symbol FROM w WHERE own IS NOT NULL AND own NOT IN (SELECT symbol FROM t) AND own NOT IN (SELECT symbol FROM v)), w2 AS (SELECT y.* FROM y JOIN v2 USING (symbol)),
+            k AS (SELECT path, 0 AS hops, line, symbol AS via FROM u WHERE {S.is_test('path')} UNION ALL SELECT path, 1, line, symbol FROM w WHERE {S.is_test('path')} UNION ALL SELECT path, 2, line, symbol FROM w2 WHERE {S.is_test('path')}),
+            z AS (SELECT * FROM k UNION ALL SELECT c.path, -1, coalesce(c.start_line, 0), t.symbol FROM c, t WHERE {S.is_test('c.path')} AND contains(c.content, t.symbol) AND NOT EXISTS (SELECT 1 FROM k)),
             q AS (SELECT path, via, min(hops) AS h FROM z GROUP BY ALL)
             SELECT path, (min((hops, line)))[1] AS hops, (min((hops, line)))[2] AS line, (SELECT string_agg(via, ',' ORDER BY h, via) FROM q WHERE q.path = z.path) AS via FROM z GROUP BY path""",
         "dependents": f"""{base} SELECT path, count(DISTINCT symbol) AS shared, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM r

@@ -55,8 +55,9 @@ def import_lines(spark, d):
 
 
 def budget_pack(spark, d):
-    rows = table(spark, d, "documents").where("text is not null and kind is not null")
-    c = rows.select(F.concat_ws(":", "kind", "lang").alias("grp"), F.col("doc_id").cast("int").alias("idx"), F.ceil(F.length("text") / 4).alias("tokens"), (F.col("doc_id") % 100 / 100).alias("score"))
+    """A request for each twenty documents in a row: what of them fits 1,500 tokens."""
+    rows = table(spark, d, "documents").where("text is not null")
+    c = rows.select(F.floor(F.col("doc_id") / 20).alias("grp"), (F.col("doc_id") % 20).cast("int").alias("idx"), F.ceil(F.length("text") / 4).alias("tokens"), (F.col("doc_id") * 37 % 100 / 100).alias("score"))
     return chunking.budget_pack(c, 1500).select("grp", F.size("picked").alias("picked"), "used", "dropped")
 
 
@@ -176,11 +177,24 @@ def _words_sql(symbol):
     return rf"list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace({symbol}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[_-]+', ' ', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 1))"
 
 
+SQL_FORMS = {
+    "select": r"(?i)\bselect\b[^;\"'']*?\bfrom\s+([A-Za-z_][\w.]*)",
+    "insert": r"(?i)\binsert\s+into\s+([A-Za-z_][\w.]*)",
+    "update": r"(?i)\bupdate\s+([A-Za-z_][\w.]*)\s+set\b",
+    "delete": r"(?i)\bdelete\s+from\s+([A-Za-z_][\w.]*)",
+    "merge": r"(?i)\bmerge\s+into\s+([A-Za-z_][\w.]*)",
+    "create": r"(?i)\bcreate\s+table\s+([A-Za-z_][\w.]*)",
+    "alter": r"(?i)\balter\s+table\s+([A-Za-z_][\w.]*)",
+    "drop": r"(?i)\bdrop\s+table\s+([A-Za-z_][\w.]*)",
+    "truncate": r"(?i)\btruncate\s+table\s+([A-Za-z_][\w.]*)",
+}
+
+
 def oracle_sql():
     base = S.BASE
     return {
         "chunk_windows": f"""WITH {FILES}, x AS (SELECT file_id, string_split(regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) AS l FROM s WHERE content IS NOT NULL), y AS (SELECT *, len(l) AS n FROM x),
-            z AS (SELECT *, unnest(list_filter(generate_series(0, n - 1, 65), lambda q: q = 0 OR n - q >= 3 AND q + 10 < n)) AS start_line FROM y)
+            z AS (SELECT *, unnest(generate_series(0, n - 1, 65)) AS start_line FROM y)
             SELECT file_id, (row_number() OVER (PARTITION BY file_id ORDER BY start_line) - 1)::INT AS chunk_index, start_line, least(start_line + 75, n) - 1 AS end_line, length(array_to_string(l[start_line + 1:least(start_line + 75, n)], chr(10))) AS n_chars FROM z""",
         "prev_next_context": f"{base} SELECT id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id FROM c WINDOW w AS (PARTITION BY path ORDER BY chunk_index NULLS FIRST, id)",
         "chunk_texts": f"""{base}, t AS (SELECT id, concat_ws(chr(10), 'File: ' || path, CASE WHEN len(imports) > 0 THEN 'Imports: ' || array_to_string(imports, ', ') END,
@@ -200,13 +214,24 @@ def oracle_sql():
             SELECT coalesce(a.path, o.path) AS path, CASE WHEN a.path IS NULL THEN 'gone' WHEN o.path IS NULL THEN 'new' WHEN floor(a.mtime_ms) = floor(o.mtime_ms) AND a.size = o.size THEN 'skip' WHEN a.size = o.size AND lower(a.hash) = lower(o.hash) THEN 'refresh' ELSE 'process' END AS action FROM a FULL JOIN o ON a.path = o.path""",
         "coherence_state": f"""{base}, {LISTING}, v AS (SELECT DISTINCT path FROM c WHERE vec_id IS NOT NULL), x AS (SELECT coalesce(n.path, v.path) AS path, n.path IS NULL AS no, v.path IS NOT NULL AS there, hash_version AS hv, has_vectors AS has FROM n FULL JOIN v ON n.path = v.path),
             y AS (SELECT *, CASE WHEN has IS NULL THEN NOT there ELSE has <> there END AS clash FROM x)
-            SELECT path, CASE WHEN no OR clash THEN 'reprocess' WHEN hv IS NOT NULL AND hv <> 2 THEN 'reprocess' WHEN hv IS NULL OR has IS NULL THEN 'stamp' ELSE 'current' END AS action, CASE WHEN no THEN there ELSE clash END AS rewrite FROM y""",
+            SELECT path, CASE WHEN no OR clash THEN 'reprocess' WHEN hv IS NOT NULL AND hv <> 2 THEN 'reprocess' WHEN hv IS NULL AND regexp_matches(lower(path), '\\.mdx?$') THEN 'reprocess' WHEN hv IS NULL OR has IS NULL THEN 'stamp' ELSE 'current' END AS action, CASE WHEN no THEN there ELSE clash END AS rewrite FROM y""",
         "stale_paths": f"{base} SELECT DISTINCT path FROM c WHERE path NOT IN (SELECT path FROM source_files WHERE path IS NOT NULL)",
         "replace_by_path": f"{base}, {LAST} SELECT id, path FROM c ANTI JOIN l USING (path) UNION ALL SELECT 'new:' || path, path FROM l WHERE event = 'change'",
         "delete_prefix": f"{base} SELECT id, path FROM c WHERE NOT starts_with(path, '/srv/repos/amber/')",
         "update_rows": f"{base} SELECT id, CASE WHEN ends_with(path, '.go') THEN CASE WHEN length(path) % 2 = 0 THEN 'DOCS' ELSE '' END ELSE role END AS role FROM c",
         "retry_plan": "SELECT path, count(*) AS tries, least(30000, 2000 * 2 ** (count(*) - 1))::BIGINT AS wait_ms, count(*) >= 5 AS terminal FROM change_feed WHERE path IS NOT NULL GROUP BY path",
         "fnv_sample": f"""{base} SELECT id, h FROM (SELECT id, list_reduce(list_transform(string_split(id, ''), lambda x: ascii(x)::BIGINT), lambda a, x: (xor(a, x) * 16777619) % 4294967296, 2166136261::BIGINT) AS h FROM c) ORDER BY h, id LIMIT 200""",
+        "budget_pack": """WITH RECURSIVE t AS (SELECT doc_id // 20 AS grp, (doc_id % 20)::INT AS idx, ceil(length(text) / 4)::BIGINT AS tokens, doc_id * 37 % 100 / 100.0::DOUBLE AS score FROM documents WHERE text IS NOT NULL),
+            o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score / 0.02) DESC, tokens, idx) AS k, count(*) OVER (PARTITION BY grp) AS n FROM t),
+            p(grp, k, n, picked, used) AS (SELECT DISTINCT grp, 0::BIGINT, n, 0, 0::BIGINT FROM o
+                UNION ALL SELECT p.grp, o.k, p.n, p.picked + (p.used + o.tokens <= 1500)::INT, p.used + CASE WHEN p.used + o.tokens <= 1500 THEN o.tokens ELSE 0 END FROM p JOIN o ON o.grp = p.grp AND o.k = p.k + 1)
+            SELECT p.grp, greatest(picked, 1) AS picked, CASE WHEN picked = 0 THEN f.tokens ELSE used END AS used, n - greatest(picked, 1) AS dropped
+            FROM p JOIN (SELECT grp, arg_max(tokens, (score, -idx)) AS tokens FROM t GROUP BY grp) f ON f.grp = p.grp WHERE k = n""",
+        "skeletons": f"""{base} SELECT path, count(*) AS symbols, string_agg((coalesce(start_line, 0) + 1) || ' ' || defs[1], ';' ORDER BY coalesce(start_line, 0), id) AS outline FROM c WHERE len(defs) > 0 GROUP BY path""",
+        "code_complexity": rf"""{base}, b AS (SELECT id, regexp_replace(regexp_replace(content, '\\.', '', 'g'), '(?s)"[^"\n]*"|''[^''\n]*''|//[^\n]*|/\*.*?\*/', ' ', 'g') AS code FROM c WHERE content IS NOT NULL)
+            SELECT id, 1 + len(regexp_extract_all(code, '\b(?:if|for|while|case|catch|except|elif)\b|&&|\|\||\?\?')) AS complexity FROM b""",
+        "sql_tables": f"""{base}, f AS ({" UNION ".join(f"SELECT id, '{o}' AS operation, lower(unnest(regexp_extract_all(content, '{p}', 1))) AS table_name FROM c" for o, p in SQL_FORMS.items())})
+            SELECT operation, table_name, count(DISTINCT id) AS chunks FROM f GROUP BY ALL""",
         "index_totals": f"{base} SELECT project_root, count(*) AS chunks, count(DISTINCT path) AS files FROM c GROUP BY ALL",
         "path_classes": f"{base} SELECT DISTINCT path, {S.is_test('path')} AS test, {S.is_eval('path')} AS eval FROM c",
         "vector_width_check": "SELECT len(embedding) AS width, count(*) AS vectors, sum((len(embedding) <> 64)::INT) AS refused FROM embeddings GROUP BY 1",

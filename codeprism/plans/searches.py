@@ -131,7 +131,7 @@ def quantised_tokens(spark, d):
 def hybrid_search(spark, d):
     """The whole search, over the chunk corpus and its first model's vectors."""
     c = symbols.corpus(table(spark, d, "chunks"))
-    r = table(spark, d, "embed_responses").where(F.col("dim") == 64)
+    r = table(spark, d, "embed_responses")  # the lists tell the width, dim does not
     v = r.select(F.explode(F.arrays_zip("vec_ids", "vectors")).alias("z")).select(F.col("z.vec_ids").alias("vec_id"), F.col("z.vectors").alias("embedding")).where(F.size("embedding") == 64).where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).dropDuplicates(["vec_id"])
     return retrieval.search(c, v, "where is formatSpan", [1.0] + [0.0] * 63, SearchFilter(prefix="/srv/repos/"), 20, symbols=("dropHeader",))
 
@@ -144,6 +144,8 @@ FILTERS = {
     "role": SearchFilter(role="ORCHESTRATION"),
     "def": SearchFilter(definition="dropHeader"),
     "ref": SearchFilter(reference="dropHeader"),
+    "used": SearchFilter(used="dropHeader"),
+    "exclude": SearchFilter(prefix=ROOT + "/", exclude="src/"),
     "mention": SearchFilter(mention="dropHeader"),
     "importer": SearchFilter(importer_of="Label"),
     "roots": SearchFilter(project_roots=[ROOT, "/srv/repos/amber"]),
@@ -161,7 +163,9 @@ IN_SQL = {
     "extension": "path LIKE '%.ts'",
     "role": "role = 'ORCHESTRATION'",
     "def": "list_contains(defs, 'dropHeader')",
-    "ref": "(list_contains(calls, 'dropHeader') OR list_contains(types, 'dropHeader'))",
+    "ref": "list_contains(calls, 'dropHeader')",
+    "used": "(list_contains(calls, 'dropHeader') OR list_contains(types, 'dropHeader'))",
+    "exclude": f"starts_with(path, '{ROOT}/') AND NOT starts_with(path, '{ROOT}/src/')",
     "mention": "contains(content, 'dropHeader')",
     "importer": "content LIKE '%import%Label%'",
     "roots": f"(starts_with(path, '{ROOT}/') OR starts_with(path, '/srv/repos/amber/'))",

@@ -50,12 +50,16 @@ class Store:
         stream = self._fs.create(tmp, True)
         stream.write(bytearray(json.dumps({"snapshot": name, "batch": batch}), "utf-8"))
         stream.close()
-        end = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(end):
-            self._fs.delete(end, False)
-        self._fs.rename(tmp, end)
+        self._move(tmp, self._path(f"{self.root}/CURRENT"))
         return name
 
+    def _move(self, tmp, end) -> None:
+        """Rename over what is there, in one step: a reader sees the old pointer or the new one."""
+        hadoop, sc = self._jvm.org.apache.hadoop.fs, self.spark.sparkContext
+        over = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(tmp, end, over)
+
     def replace_paths(self, fresh: DataFrame, gone: DataFrame | None = None, batch: int | None = None) -> str:
         """Insert the fresh rows in place of their paths' old ones; a batch that is already in does nothing."""
         now = self.pointer()

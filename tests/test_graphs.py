@@ -117,6 +117,24 @@ def test_project_of_takes_the_longest_root_and_no_sibling(spark):
     assert {r["id"]: r["root"] for r in analytics.project_of(rows, p).collect()} == {"1": "/work/api", "2": "/work/api-extra", "3": None, "4": "/work"}
 
 
+def test_tests_by_mention_only_where_none_is_reached(spark):
+    cols = "id string, project_root string, path string, start_line int, defined_symbols array<string>, referenced_symbols array<string>, type_referenced_symbols array<string>, member_referenced_symbols array<string>, parent_symbol string, content string"
+    rows = [("1", "/r", "/r/src/a.ts", 0, ["a"], [], [], [], None, "a"), ("2", "/r", "/r/tests/a.test.ts", 3, [], ["a"], [], [], None, "a()"), ("3", "/r", "/r/tests/b.test.ts", 4, [], [], [], [], None, "// tells of a and $b"), ("4", "/r", "/r/src/c.ts", 9, ["c"], ["$b"], [], [], None, "x\n" * 250 + "y = $b(1)")]
+    c = spark.createDataFrame(rows, cols)
+    assert {r["path"]: r["hops"] for r in graph.tests_reaching(c, ["a"]).collect()} == {"/r/tests/a.test.ts": 0}
+    assert {r["path"]: r["hops"] for r in graph.tests_reaching(c, ["$b"]).collect()} == {"/r/tests/b.test.ts": -1}
+    assert [r["line"] for r in graph.call_sites(c, "$b").collect()] == [9 + 251]
+
+
+def test_a_long_cycle_is_found_whole(spark):
+    from codeprism.operators import audit
+
+    n = 90
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{(i + 1) % n:03}") for i in range(n)] + [("n000", "x"), ("y", "n001")], "src string, dst string")
+    got = audit.components(edges).collect()
+    assert len(got) == n and {r["component"] for r in got} == {"n089"}
+
+
 def test_registered_walks_go_to_the_third_level(spark):
     d = "/root/testdata/sf0.1"
     q = audits.queries()
@@ -130,9 +148,8 @@ def test_registered_walks_go_to_the_third_level(spark):
         want |= {(s, t, hops) for s, t in up.items()}
         level = set(up)
         seen |= level
-    got = {(r["symbol"], r["parent"], r["hops"]) for r in q["caller_tree_3"](spark, d).collect()}
+    got = {(r["symbol"], r["parent"], r["hops"]) for r in q["caller_tree"](spark, d).collect()}
     assert got == want and any(h == 3 for _, _, h in got)
-    assert {x for x in got if x[2] < 3} == {(r["symbol"], r["parent"], r["hops"]) for r in q["caller_tree"](spark, d).collect()}
 
     c = audits.corpus(spark, d, *audits.LIGHT)
     refs = [(r["path"], r["symbol"], (r["defined_symbols"] or [None])[0]) for r in symbols.references(c).join(c.select("id", "defined_symbols"), "id").collect()]
@@ -145,5 +162,5 @@ def test_registered_walks_go_to_the_third_level(spark):
                 want.setdefault(path, hops)
         level = {own for _, _, own in users if own} - seen
         seen |= level
-    got = {r["path"]: r["hops"] for r in q["find_tests_3"](spark, d).where("hops >= 0").collect()}
+    got = {r["path"]: r["hops"] for r in q["find_tests"](spark, d).where("hops >= 0").collect()}
     assert got == want and 2 in got.values()

@@ -21,10 +21,10 @@ def test_ladder_and_coherence(spark):
     now = spark.createDataFrame([("same", 1.2, 5, "H"), ("touched", 9.0, 5, "h"), ("edited", 9.0, 6, "x"), ("new", 1.0, 1, "n")], cols)
     old = spark.createDataFrame([("same", 1.9, 5, "z"), ("touched", 1.0, 5, "H"), ("edited", 1.0, 5, "h"), ("gone", 1.0, 1, "g")], cols)
     assert {r["path"]: r["action"] for r in incremental.change_ladder(now, old).collect()} == {"same": "skip", "touched": "refresh", "edited": "process", "new": "new", "gone": "gone"}
-    meta = spark.createDataFrame([("ok", 2, True), ("lost", 2, True), ("legacy", None, None), ("legacy_lost", None, None), ("older", 1, True)], "path string, hash_version int, has_vectors boolean")
-    vec = spark.createDataFrame([("ok",), ("legacy",), ("older",), ("orphan",)], "path string")
+    meta = spark.createDataFrame([("ok", 2, True), ("lost", 2, True), ("legacy", None, None), ("legacy_lost", None, None), ("older", 1, True), ("old.MD", None, True), ("new.md", 2, True)], "path string, hash_version int, has_vectors boolean")
+    vec = spark.createDataFrame([("ok",), ("legacy",), ("older",), ("orphan",), ("old.MD",), ("new.md",)], "path string")
     got = {r["path"]: (r["action"], r["rewrite"]) for r in incremental.coherence(meta, vec).collect()}
-    assert got == {"ok": ("current", False), "lost": ("reprocess", True), "legacy": ("stamp", False), "legacy_lost": ("reprocess", True), "older": ("reprocess", False), "orphan": ("reprocess", True)}
+    assert got == {"ok": ("current", False), "lost": ("reprocess", True), "legacy": ("stamp", False), "legacy_lost": ("reprocess", True), "older": ("reprocess", False), "old.MD": ("reprocess", False), "new.md": ("current", False), "orphan": ("reprocess", True)}
 
 
 def test_stale_paths_below_protected_stay(spark):

@@ -48,19 +48,21 @@ def test_budget(spark):
     assert pack([(256, 1.0), (624, 0.9), (634, 0.8), (271, 0.7), (344, 0.6)], 1500) == ([0, 1, 3, 4], 1495, 1)
     assert pack([(800, 0.9), (200, 0.895), (400, 0.5)], 1000) == ([0, 1], 1000, 1)
     assert pack([(5000, 0.9), (4000, 1.0)], 1000) == ([1], 4000, 1)
+    assert pack([(5000, 0.905), (4000, 0.9)], 1000) == ([0], 5000, 1)  # the highest score itself, not its step
+    assert pack([(5000, 0.9), (4000, 0.9)], 1000) == ([0], 5000, 1)
 
 
 def test_windows(spark):
-    f = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(220))), (2, "x\r\n"), (3, None), (4, "")], "file_id long, content string")
+    f = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(220))), (2, "x\r\n"), (3, None), (4, ""), (5, "\n".join("l" * 70))], "file_id long, content string")
     got = [(r["file_id"], r["start_line"], r["end_line"]) for r in chunking.line_windows(f).orderBy("file_id", "chunk_index").collect()]
-    assert got == [(1, 0, 74), (1, 65, 139), (1, 130, 204), (1, 195, 219), (2, 0, 0), (4, 0, 0)]
+    assert got == [(1, 0, 74), (1, 65, 139), (1, 130, 204), (1, 195, 219), (2, 0, 0), (4, 0, 0), (5, 0, 69), (5, 65, 69)]
 
 
 def test_filters(spark):
     rows = spark.createDataFrame([("1", "/r/a/x.ts", ["s"], None, None), ("2", "/r/b/y.py", None, ["s"], "DOCS"), ("3", "/r2/a/x.ts", [], [], None)], "id string, path string, defined_symbols array<string>, referenced_symbols array<string>, role string").withColumn("type_referenced_symbols", F.lit(None).cast("array<string>"))
     ids = lambda f: {r["id"] for r in rows.where(f.condition()).collect()}
     assert ids(SearchFilter(project_roots=["/r"])) == {"1", "2"} and ids(SearchFilter(project_roots=[])) == set()
-    assert ids(SearchFilter(definition="s")) == {"1"} and ids(SearchFilter(reference="s")) == {"2"} and ids(SearchFilter(role="DOCS")) == {"2"}
+    assert ids(SearchFilter(definition="s")) == {"1"} and ids(SearchFilter(reference="s")) == {"2"} == ids(SearchFilter(used="s")) and ids(SearchFilter(role="DOCS")) == {"2"}
     assert ids(resolve_scope("/r", "a")) == {"1"} and ids(resolve_scope("/r", None, "a")) == {"2"} and ids(SearchFilter(file="x.ts")) == {"1", "3"}
     assert {r["id"] for r in rows.where(defines_matching("(")).collect()} == {"1", "2", "3"}
 
