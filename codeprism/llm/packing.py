@@ -1,7 +1,8 @@
 """Fixed-capacity containers, by harmonic packing over exact size classes.
 
-A document of s tokens belongs to the reciprocal class k = capacity // s: k of its size fill a
-container. The classes are refined to single sizes (at most ``capacity`` of them), so the histogram of
+A document of s tokens belongs to the reciprocal class k = capacity // s: k of its class fit into a
+container, and with ``fill=False`` every container holds k documents of one class. By default the room
+that this leaves is filled in a second stage: the classes are refined to single sizes (at most ``capacity`` of them), so the histogram of
 sizes is bounded by the capacity whatever the corpus holds. From the histogram alone a plan is made:
 container kinds, each with a fixed number of documents of its main size (k, as in harmonic packing)
 and fixed numbers of smaller sizes that fill the room the main class leaves. Containers of a kind are
@@ -48,6 +49,11 @@ def kinds(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tupl
     return plan
 
 
+def classes(histogram: dict[int, int]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The same for plain harmonic packing; the histogram is that of the classes, k documents a container."""
+    return [(-(-n // k), [(k, k)]) for k, n in sorted(histogram.items()) if k > 0]
+
+
 def ranges(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarray]:
     """The plan turned round: for each size, from which number on documents go to which containers."""
     rows, used, first = [], {}, 0
@@ -60,14 +66,15 @@ def ranges(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarra
     return {"size": a[:, 0], "number": a[:, 1], "first": a[:, 2], "each": a[:, 3], "containers": np.int64(first)}
 
 
-def packed(docs: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str = "text", path: str | None = None, buckets: int = 256) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str = "text", path: str | None = None, buckets: int = 256, fill: bool = True) -> DataFrame:
     """``container_id, <key>, piece, start_token, n_tokens``: one row per document or piece of one.
 
     A document over the capacity is cut into full pieces, each alone in its container, and a rest that
     is packed like any document; no other document is cut. Empty and null texts take no room: they
     have n_tokens 0 and a null container. Rows with equal keys are separate documents here, so remove
     repeats first where they mean the same. The order inside a size is by bucket and key, ties by
-    text size only, hence the result is the same in every run for unique keys.
+    text size only, hence the result is the same in every run for unique keys. ``fill=False`` gives plain
+    harmonic packing.
     """
     sizes = materialised(sized(docs, key, text, path).withColumnRenamed(key, "_k"))
     cut = sizes.select(
@@ -81,16 +88,18 @@ def packed(docs: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str
         (F.col("piece") * capacity).alias("start_token"),
         F.least(F.lit(capacity), F.col("_whole") - F.col("piece") * capacity).alias("n_tokens"),
     ).withColumn("_b", F.pmod(F.xxhash64("_k", "piece"), F.lit(buckets)))
-    counts = items.groupBy("n_tokens", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("n_tokens").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.col("n_tokens").cast("long")  # the class of an item: its size, or how many of them fill a container
+    items = items.withColumn("_c", own if fill else F.when(own > 0, F.floor(F.lit(capacity) / own)).otherwise(0).cast("long"))
+    counts = items.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    histogram = {r["n_tokens"]: r["n"] for r in counts.groupBy("n_tokens").agg(F.sum("_n").alias("n")).collect()}  # at most capacity + 1 rows
-    where = ranges(kinds(histogram, capacity))
+    histogram = {r["_c"]: r["n"] for r in counts.groupBy("_c").agg(F.sum("_n").alias("n")).collect()}  # at most capacity + 1 rows
+    where = ranges(kinds(histogram, capacity) if fill else classes(histogram))
     at = where["size"] * (1 << 40) + where["number"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, number = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
+            size, number = b.column(5).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
             i = np.maximum(np.searchsorted(at, size * (1 << 40) + number, side="right") - 1, 0)
             if len(at):
                 to = where["first"][i] + (number - where["number"][i]) // where["each"][i]
@@ -98,7 +107,7 @@ def packed(docs: DataFrame, capacity: int = 2048, key: str = "doc_id", text: str
                 to = np.zeros(len(size), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64(), mask=size == 0), *(b.column(j) for j in range(4))], ["container_id", key, "piece", "start_token", "n_tokens"])
 
-    inside = Window.partitionBy("n_tokens", "_b").orderBy("_k", "piece")
-    ranked = items.join(offsets, ["n_tokens", "_b"]).withColumn("_r", F.col("_o") + F.row_number().over(inside) - 1)
+    inside = Window.partitionBy("_c", "_b").orderBy("_k", "piece")
+    ranked = items.join(offsets, ["_c", "_b"]).withColumn("_r", F.col("_o") + F.row_number().over(inside) - 1)
     kind = docs.schema[key].dataType.simpleString()
-    return ranked.select("_k", F.col("piece").cast("long").alias("piece"), F.col("start_token").cast("long").alias("start_token"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("_r").cast("long").alias("_r")).mapInArrow(place, f"container_id bigint, {key} {kind}, piece bigint, start_token bigint, n_tokens bigint")
+    return ranked.select("_k", F.col("piece").cast("long").alias("piece"), F.col("start_token").cast("long").alias("start_token"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("_r").cast("long").alias("_r"), "_c").mapInArrow(place, f"container_id bigint, {key} {kind}, piece bigint, start_token bigint, n_tokens bigint")

@@ -67,6 +67,11 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), CAPACITY)
 
 
+def p9_harmonic(spark: SparkSession, d: str) -> DataFrame:
+    """Plain harmonic packing, for comparison."""
+    return packing.packed(table(spark, d, "documents"), CAPACITY, fill=False)
+
+
 def near_pairs(spark: SparkSession, d: str, floor: float = 0.83) -> DataFrame:
     """Chunks with the 20 nearest vectors of each, whatever their cosine, and why a pair is no surprise."""
     c = symbols.corpus(table(spark, d, "chunks"), "project_root", "path", "content", "defined_symbols", "referenced_symbols", "type_referenced_symbols", "start_line", "is_exported", "vec_id")
@@ -98,4 +103,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p6_found, p6_pairs, p8_ids, p9_containers, p10_found, p10_reasons, surprise_vectors, surprise_funnel, surprise_findings)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_shares, p3_found, p3_reasons, p4_found, p5_found, p5_pieces, p6_found, p6_pairs, p8_ids, p9_containers, p9_harmonic, p10_found, p10_reasons, surprise_vectors, surprise_funnel, surprise_findings)}

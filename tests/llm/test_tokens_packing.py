@@ -77,3 +77,14 @@ def test_one_size_with_most_documents(spark):
     n = len(REFERENCE.encode_ordinary("same text here"))
     out = packing.packed(df, 10 * n, buckets=8).groupBy("container_id").count().collect()
     assert len(out) == 50 and all(r["count"] == 10 for r in out)
+
+
+def test_plain_harmonic_packing_holds_k_of_a_class(spark):
+    df = spark.createDataFrame([(i, "a " * (i % 40)) for i in range(300)] + [(900, None), (901, "")], "doc_id long, text string")
+    out = packing.packed(df, 64, buckets=4, fill=False).collect()
+    full = {}
+    for r in out:
+        if r["n_tokens"]:
+            full.setdefault(r["container_id"], []).append(r["n_tokens"])
+    assert all(sum(v) <= 64 and len({64 // n for n in v}) == 1 and len(v) <= 64 // max(v) for v in full.values())
+    assert {r["doc_id"] for r in out} == set(range(300)) | {900, 901} and len(full) >= len({r["container_id"] for r in packing.packed(df, 64, buckets=4).collect()} - {None})
