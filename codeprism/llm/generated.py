@@ -25,7 +25,7 @@ from ..session import materialised
 from .clusters import bands, components, links, stacked
 from .syntax.files import valid, with_language
 
-SHINGLE, BANDS, ROWS = 5, 20, 16
+SHINGLE, BANDS, ROWS = 5, 16, 16
 #: Places that are compared, and their share that must be equal.
 PLACES, AGREE = 128, 0.85
 #: Places over shingles as they stand, by which copies are told from files of one shape, and rows of their bands.
@@ -98,6 +98,8 @@ def data_only(text: str) -> bool:
     packed = sum(len(s) for group in strings for s in group if s and not re.search(r"\s", s[:200]))
     if packed > 0.6 * len(text):
         return True
+    if sum(map(text.count, "0123456789")) < 150:
+        return False
     words, numbers = 0, 0
     for t in re.findall(r"[^\W\d]\w*|\d[\w.]*", text):
         numbers += t[0].isdigit()
@@ -152,12 +154,12 @@ def _tools():
 
 
 def _shingles(h: np.ndarray, powers: np.ndarray) -> np.ndarray:
-    """Distinct 32-bit hashes of five tokens in a row; of a shorter text, of all its tokens."""
+    """32-bit hashes of five tokens in a row; of a shorter text, of all its tokens."""
     n = min(SHINGLE, len(h))
     with np.errstate(over="ignore"):
         s = sum(h[i : len(h) - n + 1 + i] * powers[i] for i in range(n))
         s ^= s >> np.uint64(31)
-    return np.unique((s >> np.uint64(16)).astype(np.uint32))
+    return (s >> np.uint64(16)).astype(np.uint32)
 
 
 def _places(s: np.ndarray, odd: np.ndarray, flips: np.ndarray) -> np.ndarray:
@@ -169,17 +171,20 @@ def _places(s: np.ndarray, odd: np.ndarray, flips: np.ndarray) -> np.ndarray:
 
 
 def signature(text: str, python: bool) -> tuple[np.ndarray, np.ndarray, int, float] | None:
-    """(masked places, named places, different named shingles, share of literals); None without any token."""
+    """(masked places, named places, different named shingles at least, share of literals); None without any token."""
     masks, odd, flips, powers = _tools()
     h = np.fromiter(map(masks.__getitem__, TOKENS[python].findall(text)), np.uint64)
     h = h[h != 0]
     if not len(h):
         return None
     shape, named = h >> np.uint64(32), _shingles(h & np.uint64(0xFFFFFFFF), powers)
+    kinds = len(np.unique(named[:256]))
+    if kinds < LEAST_SHINGLES and len(named) > 256:
+        kinds = len(np.unique(named))
     literal = int(((shape == NUMBER) | (shape == STRING)).sum())
     words = int((shape == NAME).sum())
     n = BANDS * ROWS
-    return _places(_shingles(shape, powers), odd[:n], flips[:n]), _places(named, odd[n:], flips[n:]), len(named), literal / max(1, literal + words)
+    return _places(np.unique(_shingles(shape, powers)), odd[:n], flips[:n]), _places(named, odd[n:], flips[n:]), kinds, literal / max(1, literal + words)
 
 
 def classified(files: DataFrame, languages: DataFrame, catalog: DataFrame, key: str = "file_id", house: str = "Lantern Works") -> DataFrame:
