@@ -220,7 +220,7 @@ def grid(ids: np.ndarray, leaf: np.ndarray, home: np.ndarray, by_row: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.997, leaf_rows: int = 8000, least_leaves: int = 32, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 512, split_rows: int = 50_000) -> DataFrame:
+def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.995, leaf_rows: int = 8000, least_leaves: int = 32, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 512, split_rows: int = 50_000) -> DataFrame:
     """``model, id, neighbour, cosine``: at most k rows for each usable vector, none below ``floor``.
 
     ``responses`` has model, vec_ids and vectors; other columns are ignored. A repeated (model, id) is
@@ -239,7 +239,7 @@ def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, re
         return empty
     size = {m: min(leaf_rows, max(64, n // least_leaves)) for m, n in counts.items()}
     leaves = {m: int(min(max_leaves, max(1, n // size[m]))) for m, n in counts.items()}
-    share = {m: min(1.0, max(sample_per_leaf * leaves[m], 4 * probes) / counts[m]) for m in counts}
+    share = {m: min(1.0, max(sample_per_leaf * leaves[m], 8 * probes) / counts[m]) for m in counts}
     sample = _sample(source, widths, share)
     trees = {m: grow(x, leaves[m]) for m, (_, x) in sample.items()}
     if not trees:
