@@ -220,7 +220,7 @@ def grid(ids: np.ndarray, leaf: np.ndarray, home: np.ndarray, by_row: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.997, leaf_rows: int = 12000, least_leaves: int = 32, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 512, split_rows: int = 50_000) -> DataFrame:
+def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.997, leaf_rows: int = 12000, least_leaves: int = 8, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 512, split_rows: int = 50_000) -> DataFrame:
     """``model, id, neighbour, cosine``: at most k rows for each usable vector, none below ``floor``.
 
     ``responses`` has model, vec_ids and vectors; other columns are ignored. A repeated (model, id) is
