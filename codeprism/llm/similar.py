@@ -11,6 +11,9 @@
    by another, so that each row meets each visit in one cell and no group holds more than twice that,
    however many copies a vector has.
 5. Each leaf answers its queries with exact cosines; the k best of each query are merged.
+
+Batches are taken in slices and cells in tiles, and only the k best of each row are kept on the way, so a
+worker's memory does not depend on the size of a batch or on the number of hits.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tree import Tree, grow, unit
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of vectors in a slice of a batch and of the rows, or visits, of a cell; rows and columns of a tile of cosines.
+SLICE, CELL, TILE = 1 << 21, 1 << 24, (512, 2048)
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
@@ -38,31 +43,27 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def one_a_row(responses: DataFrame) -> DataFrame:
+    """``model, id, v``: a row for each vector that has an id, so that a batch of rows is small however many vectors a response has."""
+    zipped = responses.select("model", F.explode(F.arrays_zip(F.col("vec_ids").alias("id"), F.col("vectors").alias("v"))).alias("z"))
+    return zipped.select("model", F.col("z.id").alias("id"), F.col("z.v").alias("v")).where("model is not null and id is not null and v is not null")
+
+
 def usable(batch: pa.RecordBatch, widths: dict[str, int]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(model, ids, unit vectors) of the rows of a batch of (model, vec_ids, vectors) that can be compared.
+    """(model, ids, unit vectors) of the rows of a batch of (model, id, v) that can be compared.
 
-    A vector is usable when it is not null, has its model's width and only finite numbers, and is not
-    all zero. An id without a vector, or a vector without an id, is left out.
+    A vector is usable when it has its model's width and only finite numbers, and is not all zero. A batch
+    comes in parts of about ``SLICE`` bytes.
     """
-    models = np.asarray(batch.column(0).to_pylist(), object)
-    ids, vectors = batch.column(1), batch.column(2)
-    n = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, int)
-    if ids.null_count or vectors.null_count or not (n == np.diff(vectors.offsets.to_numpy())).all() or ids.values.null_count:
-        pairs = [(m, i, v) for m, a, b in zip(models, ids.to_pylist(), vectors.to_pylist()) if a and b for i, v in zip(a, b) if i is not None]
-        for model, width in widths.items():
-            own = [(i, v) for m, i, v in pairs if m == model and v is not None and len(v) == width and None not in v]
-            yield from _clean(model, np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float32).reshape(-1, width))
-        return
-    start, stop = (ids.offsets[0].as_py(), ids.offsets[-1].as_py()) if len(ids) else (0, 0)
-    flat_ids = ids.values.slice(start, stop - start).to_numpy(zero_copy_only=False)
-    start, stop = (vectors.offsets[0].as_py(), vectors.offsets[-1].as_py()) if len(vectors) else (0, 0)
-    rows = vectors.values.slice(start, stop - start)
-    offsets, values = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)
-    long, model_of = np.diff(offsets), np.repeat(models, n)
-    there = np.asarray(rows.is_valid())
+    ids, rows = batch.column(1).to_numpy(), batch.column(2)
+    offsets, values = rows.offsets.to_numpy(), rows.values.to_numpy(zero_copy_only=False)  # null in a vector: nan
+    long = np.diff(offsets)
     for model, width in widths.items():
-        at = np.flatnonzero(there & (long == width) & (model_of == model))
-        yield from _clean(model, flat_ids[at], values[offsets[at][:, None] + np.arange(width)].astype(np.float32, copy=False) if len(at) else np.zeros((0, width), np.float32))
+        own = np.flatnonzero((long == width) & pc.equal(batch.column(0), model).to_numpy(zero_copy_only=False))
+        per = max(1, SLICE // (4 * width))
+        for i in range(0, len(own), per):
+            at = own[i : i + per]
+            yield from _clean(model, ids[at], values[offsets[at][:, None] + np.arange(width)].astype(np.float32, copy=False))
 
 
 def _clean(model, ids, x):
@@ -74,9 +75,9 @@ def _clean(model, ids, x):
         yield model, ids[ok], unit(x).astype(np.float32)
 
 
-def widths_of(responses: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+def widths_of(source: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
     """Of each model: the width that most of its vectors have (ties: the smaller), and how many have it."""
-    lengths = responses.select("model", F.explode(F.transform("vectors", lambda v: F.size(v))).alias("w")).where("w > 0 and model is not null")
+    lengths = source.select("model", F.size("v").alias("w")).where("w > 0")
     rows = lengths.groupBy("model", "w").agg(F.count(F.lit(1)).alias("n")).groupBy("model").agg(F.max_by(F.struct("w", "n"), F.struct("n", -F.col("w"))).alias("x")).collect()  # one row a model
     return {r["model"]: r["x"]["w"] for r in rows}, {r["model"]: r["x"]["n"] for r in rows}
 
@@ -99,38 +100,89 @@ def _sample(responses: DataFrame, widths: dict[str, int], share: dict[str, float
     return out
 
 
-def _best(s: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest of each row, those below the floor left out."""
-    if floor is not None:
-        r, c = np.nonzero(s >= floor)
-        n = np.bincount(r, minlength=len(s))
-        if not len(r) or n.max() <= k:
-            return r, c
-        order = np.lexsort((c, -s[r, c], r))
-        r, c = r[order], c[order]
-        keep = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) < k
-        return r[keep], c[keep]
-    k = min(k, s.shape[1])
-    c = np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(s), 0), int)
-    r = np.repeat(np.arange(len(s)), k)
-    ok = np.isfinite(s[r, c.ravel()])
-    return r[ok], c.ravel()[ok]
+class Best:
+    """The k best (id, cosine) of each of n rows, from tiles; of equal cosines those that came first stay.
+
+    ``over`` is what a row's next cosine must exceed: the floor at first, then the k-th best so far.
+    """
+
+    def __init__(self, n: int, k: int, floor: float | None):
+        self.k, self.over = k, np.full(n, -np.inf if floor is None else np.nextafter(np.float32(floor), np.float32(-1)), np.float32)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = self.kept = 0
+
+    def add(self, row: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        self.parts.append((row.astype(np.int32), ids, s))
+        self.size += len(row)
+        if self.size > self.kept + max(1 << 17, self.kept // 2):
+            self.trim()
+
+    def trim(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, id, cosine) of what is kept, by row, best first."""
+        if not self.parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32)
+        row, ids, s = best_of(*(np.concatenate(x) for x in zip(*self.parts)), self.k)
+        last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == self.k - 1)
+        self.over[row[last]] = np.maximum(self.over[row[last]], s[last])
+        self.parts, self.size, self.kept = [(row, ids, s)], len(row), len(row)
+        return row, ids, s
+
+
+def best_of(row: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, by row, best first; an id counts once a row, equal cosines go to the smaller id."""
+    order = np.lexsort((-s, ids, row))
+    row, ids, s = row[order], ids[order], s[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1]))[: len(row)]
+    row, ids, s = row[new], ids[new], s[new]
+    order = np.lexsort((ids, -s, row))
+    row, ids, s = row[order], ids[order], s[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], s[keep]
+
+
+def above(s: np.ndarray, over: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row that are above ``over``; of equal ones the first columns."""
+    hit = s > over[:, None]
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+    if len(many):
+        own = s[many]
+        kth = np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k]
+        hit[many] = own >= kth[:, None]
+        for i in np.flatnonzero(np.count_nonzero(hit[many], axis=1) > k):  # copies
+            first = np.append(np.flatnonzero(own[i] > kth[i]), np.flatnonzero(own[i] == kth[i]))[:k]
+            hit[many[i]] = False
+            hit[many[i], first] = True
+    if hit.flags.c_contiguous:
+        return np.nonzero(hit)
+    c, r = np.nonzero(hit.T)  # in the order of memory
+    return r, c
 
 
 def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tuple[np.ndarray, np.ndarray]], k: int, floor: float | None, recall: float) -> dict[str, tuple[float, int]]:
     """Of each model, the margin that reaches ``recall`` of the probes' true neighbours, and how many those are."""
 
     def run(batches):
+        best = {m: Best(len(own), k, floor) for m, (own, _) in probes.items()}
+        seen: dict[str, dict[int, bytes]] = {m: {} for m in probes}
         for b in batches:
             for model, ids, x in usable(b, widths):
-                own, q = probes.get(model, (np.zeros(0), None))
-                if not len(own):
+                if model not in best:
                     continue
-                s = q @ x.T
-                s[own[:, None] == ids[None, :]] = -np.inf
-                r, c = _best(s, k, floor)
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array([model] * len(r)), pa.array(own[r]), pa.array(ids[c]), pa.array(s[r, c].astype(np.float64)), pa.array([x[j].tobytes() for j in c], pa.binary())], ["model", "q", "id", "s", "v"])
+                (own, q), mine, vectors = probes[model], best[model], seen[model]
+                for i in range(0, len(own), TILE[0]):
+                    s = q[i : i + TILE[0]] @ x.T
+                    s[own[i : i + TILE[0], None] == ids[None, :]] = -np.inf
+                    r, c = above(s, mine.over[i : i + TILE[0]], k)
+                    mine.add(r + i, ids[c], s[r, c])
+                    vectors.update((int(ids[j]), x[j].tobytes()) for j in np.unique(c))
+                if len(vectors) > 4 * k * len(own) + 10_000:
+                    kept = np.unique(mine.trim()[1])
+                    seen[model] = {i: vectors[i] for i in kept.tolist()}
+        for model, mine in best.items():
+            r, ids, s = mine.trim()
+            for i in range(0, len(r), 20_000):
+                w = slice(i, i + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(r[w])), pa.array(probes[model][0][r[w]]), pa.array(ids[w]), pa.array(s[w].astype(np.float64)), pa.array([seen[model][j] for j in ids[w].tolist()], pa.binary())], ["model", "q", "id", "s", "v"])
 
     hits = responses.mapInArrow(run, "model string, q bigint, id bigint, s double, v binary").dropDuplicates(["model", "q", "id"])
     first = hits.withColumn("r", F.row_number().over(Window.partitionBy("model", "q").orderBy(F.desc("s"), "id"))).where(F.col("r") <= k).toPandas()  # probes x k rows
@@ -154,31 +206,34 @@ def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tupl
 
 def _needed(tree: Tree, q: np.ndarray, row: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """The margin at which query ``row`` visits ``leaf``, for each pair of the two."""
-    rows, leaves, width = tree.visits(q, 2.0)
-    table = np.full((len(q), tree.leaves), 2.0)
-    table[rows, leaves] = width
-    return table[row, leaf]
-
-
-def _search(model: str, ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int, floor: float | None, leaf_rows: int, margin: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The neighbours of ``q`` among ``x`` and the reverse; a leaf that has outgrown its size gets a tree of its own."""
-    if len(x) > 8 * leaf_rows:
-        tree = grow(x[np.argsort(mixed(ids))[: 64 * max(2, len(x) // leaf_rows)]], len(x) // leaf_rows)
-        home = tree.home(x)
-        rows, leaves, _ = tree.visits(q, margin)
-        parts = [(np.flatnonzero(home == n), rows[leaves == n]) for n in range(tree.leaves)]
-    else:
-        parts = [(np.arange(len(x)), np.arange(len(q)))]
-    for base, who in parts:
-        for i in range(0, len(who), 1024):
-            w = who[i : i + 1024]
-            if len(w) and len(base):
-                s = q[w] @ x[base].T
-                s[asked[w][:, None] == ids[base][None, :]] = -np.inf
-                r, c = _best(s, k, floor)
-                yield asked[w][r], ids[base][c], s[r, c]
-                c, r = _best(s.T, k, floor)
-                yield ids[base][c], asked[w][r], s[r, c]
+    out = np.empty(len(row))
+    for i in range(0, len(q), 1024):
+        at = np.flatnonzero((row >= i) & (row < i + 1024))
+        rows, leaves, width = tree.visits(q[i : i + 1024], 2.0)
+        table = np.full((min(1024, len(q) - i), tree.leaves), 2.0)
+        table[rows, leaves] = width
+        out[at] = table[row[at] - i, leaf[at]]
+    return out
+
+
+def search(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, neighbour, cosine): the k best of each of ``asked`` among ``ids`` and the reverse. Both ascend."""
+    there, back = Best(len(asked), k, floor), Best(len(ids), k, floor)
+    for i in range(0, len(asked), TILE[0]):
+        own = slice(i, i + TILE[0])
+        for j in range(0, len(ids), TILE[1]):
+            base = slice(j, j + TILE[1])
+            s = q[own] @ x[base].T
+            at = np.searchsorted(ids[base], asked[own])
+            same = np.flatnonzero((at < len(ids[base])) & (ids[base][np.minimum(at, len(ids[base]) - 1)] == asked[own]))
+            s[same, at[same]] = -np.inf
+            r, c = above(s, there.over[own], k)
+            there.add(r + i, ids[base][c], s[r, c])
+            c, r = above(s.T, back.over[base], k)
+            back.add(c + j, asked[own][r], s[r, c])
+    r, to, s = there.trim()
+    c, back_to, t = back.trim()
+    return best_of(np.append(asked[r], ids[c]), np.append(to, back_to), np.append(s, t), k)
 
 
 def _loads(responses: DataFrame, widths: dict[str, int], trees: dict[str, Tree], margin: dict[str, float]) -> dict[str, np.ndarray]:
@@ -201,6 +256,16 @@ def _loads(responses: DataFrame, widths: dict[str, int], trees: dict[str, Tree],
     return out
 
 
+def stacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as the rows of a matrix, from the bytes of each, without an object for each."""
+    parts = [np.zeros((0, width), np.float32)]
+    for c in column.chunks:
+        first, last = c.offset, c.offset + len(c)
+        at = np.frombuffer(c.buffers()[1], np.int32)[first : last + 1] if len(c) else (0, 0)
+        parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.float32).reshape(-1, width) if len(c) else parts[0])
+    return np.concatenate(parts)
+
+
 def grid(ids: np.ndarray, leaf: np.ndarray, home: np.ndarray, by_row: np.ndarray, by_visit: np.ndarray) -> tuple[np.ndarray, ...]:
     """Where the visits ``(id, leaf)`` go: ``(visit, row part, visit part, base, asks)``.
 
@@ -231,7 +296,7 @@ def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, re
     there is one) of ``probes`` vectors that the calibrated margin must reach. Without a floor the
     neighbours of unclustered vectors lie everywhere, and the margin widens accordingly.
     """
-    source = responses.select("model", "vec_ids", "vectors")
+    source = one_a_row(responses)
     widths, counts = widths_of(source)
     spark = source.sparkSession
     empty = spark.createDataFrame([], "model string, id bigint, neighbour bigint, cosine double")
@@ -256,7 +321,7 @@ def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, re
         margin |= {m: w for m, (w, pairs) in got.items() if pairs >= probes or len(asked[m][0]) == len(sample[m][0])}
         most *= 4
     loads = _loads(source, widths, trees, margin)
-    cells = {m: np.maximum(1, -(-load // split_rows)) for m, load in loads.items()}
+    cells = {m: np.maximum(1, -(-load // min(split_rows, max(256, CELL // (4 * widths[m]))))) for m, load in loads.items()}
 
     def file(batches):
         for b in batches:
@@ -278,17 +343,20 @@ def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, re
                         ["model", "leaf", "r", "q", "base", "asks", "id", "v"],
                     )
 
-    def answer(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.drop_duplicates("id")  # a repeated response: its rows are equal
-        x = np.frombuffer(b"".join(table.v), np.float32).reshape(len(table), -1)
-        ids, base, asks = table.id.to_numpy(), table.base.to_numpy(), table.asks.to_numpy()
-        got = [*_search(key[0], ids[base], x[base], ids[asks], x[asks], k, floor, leaf_rows, margin[key[0]])]
-        a, b, s = (np.concatenate(y) for y in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pd.DataFrame({"model": key[0], "id": a, "neighbour": b, "cosine": s.astype(np.float64)})
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        every, first = np.unique(table["id"].to_numpy(), return_index=True)  # a repeated response: its rows are equal
+        base, asks = (table[c].to_numpy()[first] for c in ("base", "asks"))
+        x = stacked(table["v"], widths[key[0].as_py()])[first]
+        ids, near, cosine = search(every[base], x[base], every[asks], x[asks], k, floor)
+        start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+        offsets = pa.array(np.append(start, len(ids)).astype(np.int32))
+        return pa.table([pa.repeat(key[0], len(start)), pa.array(ids[start]), pa.ListArray.from_arrays(offsets, pa.array(near)), pa.ListArray.from_arrays(offsets, pa.array(cosine))], names=["model", "id", "near", "cosines"])
 
     filed = source.mapInArrow(file, "model string, leaf bigint, r bigint, q bigint, base boolean, asks boolean, id bigint, v binary")
-    found = filed.groupBy("model", "leaf", "r", "q").applyInPandas(answer, "model string, id bigint, neighbour bigint, cosine double")
+    found = filed.groupBy("model", "leaf", "r", "q").applyInArrow(answer, "model string, id bigint, near array<bigint>, cosines array<float>")
     best = Window.partitionBy("model", "id").orderBy(F.desc("cosine"), "neighbour")
+    # a vector's lists meet first, so that the two later steps need no exchange
+    found = found.repartition("model", "id").select("model", "id", F.explode(F.arrays_zip("near", "cosines")).alias("n")).select("model", "id", F.col("n.near").alias("neighbour"), F.col("n.cosines").cast("double").alias("cosine"))
     found = found.groupBy("model", "id", "neighbour").agg(F.max("cosine").alias("cosine"))  # both may have visited the other
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 

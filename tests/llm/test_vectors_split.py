@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -150,3 +151,26 @@ def test_surprises_come_from_vectors(spark):
     assert sum(r["pairs"] for r in queries.surprise_findings(spark, d).collect()) == sum(r["reason"] == "kept" for r in got)
     p = spark.createDataFrame([("1", "2", "/f", "/g", 0.9, None), ("3", "4", "/g", "/f", 0.8, None), ("5", "6", "/f", "/g", 1.0, "tests")], "a string, b string, a_path string, b_path string, similarity double, reason string")
     assert [tuple(r) for r in analytics.file_pair_findings(p).withColumn("examples", F.array_join("examples", ",")).drop("similarities").collect()] == [("/f", "/g", 2, 0.9, 0.85, "1~2,3~4")]
+
+
+def test_memory_of_a_worker_does_not_grow_with_batches_and_hits():
+    n, width = 40_000, 64
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(np.random.default_rng(1).normal(size=n * width).astype(np.float32)))
+    batch = pa.RecordBatch.from_arrays([pa.array(["m"] * n), pa.array(np.arange(n)), rows], ["model", "id", "v"])
+    parts = [len(ids) for _, ids, _ in similar.usable(batch, {"m": width})]
+    assert sum(parts) == n and max(parts) * width * 4 <= similar.SLICE
+    # every tile is full of hits, of which no more than a few tiles' are held
+    rng, best, s = np.random.default_rng(2), similar.Best(500, 10, None), []
+    for i in range(60):
+        s.append(rng.random((500, 1000), np.float32))
+        r, c = similar.above(s[-1], best.over, 10)
+        best.add(r, c + 1000 * i, s[-1][r, c])
+        assert best.size <= 1 << 18
+    want = np.argsort(-np.concatenate(s, axis=1), axis=1, kind="stable")[:, :10]
+    assert best.trim()[1].reshape(500, 10).tolist() == want.tolist()
+
+
+def test_a_response_of_many_vectors_is_a_row_for_each(spark):
+    rows = [("m", [1, None, 3, 4], [[1.0], [2.0], None], None, "x"), ("m", None, [[1.0]], None, "x"), (None, [5], [[1.0]], None, "x"), ("m", list(range(10, 3010)), [[1.0, 2.0]] * 3000, None, "x")]
+    got = similar.one_a_row(spark.createDataFrame(rows, SCHEMA))
+    assert got.count() == 3001 and got.where("id = 1").first()["v"] == [1.0]
