@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics, audit, symbols
-from ..session import materialised, table
+from ..session import table
 from . import documented, generated, packing, prose, residue, similar, split, tokens
 from .syntax import files as syntax
 
@@ -79,7 +79,7 @@ def near_pairs(spark: SparkSession, d: str, floor: float = 0.83) -> DataFrame:
     one, two = (c.where("vec_id is not null").select(F.col("vec_id").alias(v), F.col("id").alias(k)) for v, k in (("id", "x"), ("neighbour", "y")))
     both = near.join(one, "id").join(two, "neighbour").where("x <> y")
     pairs = both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("cosine").alias("similarity"))
-    return analytics.surprising_pairs(c, materialised(pairs), audit.file_edges(c), floor, 3)
+    return analytics.surprising_pairs(c, pairs, audit.file_edges(c), floor, 3)
 
 
 def surprise_vectors(spark: SparkSession, d: str) -> DataFrame:

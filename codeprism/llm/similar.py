@@ -10,7 +10,9 @@
    A leaf with more than ``split_rows`` of either is cut into a grid, rows by one hash of the id and visits
    by another, so that each row meets each visit in one cell and no group holds more than twice that,
    however many copies a vector has.
-5. Each leaf answers its queries with exact cosines; the k best of each query are merged.
+   Where that would compare half of all pairs or more, as it does without a floor, the tree is left aside: the
+   rows fall into blocks, and each pair of blocks is a cell in which every pair of vectors is compared once.
+5. Each cell answers its queries with exact cosines; the k best of each query are merged.
 
 Batches are taken in slices and cells in tiles, and only the k best of each row are kept on the way, so a
 worker's memory does not depend on the size of a batch or on the number of hits.
@@ -103,31 +105,48 @@ def _sample(responses: DataFrame, widths: dict[str, int], share: dict[str, float
 class Best:
     """The k best (id, cosine) of each of n rows, from tiles; of equal cosines those that came first stay.
 
-    ``over`` is what a row's next cosine must exceed: the floor at first, then the k-th best so far.
+    ``over`` is what a row's next cosine must exceed: the floor at first, then a cosine that k have reached.
+    With ``repeats`` an id may come several times, and counts once.
     """
 
-    def __init__(self, n: int, k: int, floor: float | None):
-        self.k, self.over = k, np.full(n, -np.inf if floor is None else np.nextafter(np.float32(floor), np.float32(-1)), np.float32)
+    def __init__(self, n: int, k: int, floor: float | None, repeats: bool = False):
+        self.k, self.repeats, self.over = k, repeats, np.full(n, -np.inf if floor is None else np.nextafter(np.float32(floor), np.float32(-1)), np.float32)
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = self.kept = 0
+        self.size, self.most = 0, max(4096, 2 * n * k)
 
     def add(self, row: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
         self.parts.append((row.astype(np.int32), ids, s))
         self.size += len(row)
-        if self.size > self.kept + max(1 << 17, self.kept // 2):
+        if self.size > self.most:
             self.trim()
 
     def trim(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, id, cosine) of what is kept, by row, best first."""
         if not self.parts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        row, ids, s = best_of(*(np.concatenate(x) for x in zip(*self.parts)), self.k)
-        last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == self.k - 1)
+        row, ids, s = (np.concatenate(x) for x in zip(*self.parts))
+        if self.repeats:
+            row, ids, s = best_of(row, ids, s, self.k)
+        else:  # one stable sort by row and falling cosine, as one number
+            bits = s.view(np.uint32)
+            falling = np.where(bits >> 31, bits, ~(bits | np.uint32(1 << 31)))
+            order = np.argsort(row.astype(np.uint64) << np.uint64(32) | falling, kind="stable")
+            row = row[order]
+            keep = _rank(row) < self.k
+            order = order[keep]
+            row, ids, s = row[keep], ids[order], s[order]
+        last = _rank(row) == self.k - 1
         self.over[row[last]] = np.maximum(self.over[row[last]], s[last])
-        self.parts, self.size, self.kept = [(row, ids, s)], len(row), len(row)
+        self.parts, self.size = [(row, ids, s)], len(row)
         return row, ids, s
 
 
+def _rank(row: np.ndarray) -> np.ndarray:
+    """Place of each entry among those of its row, in sorted rows."""
+    at = np.arange(len(row))
+    return at - np.maximum.accumulate(np.where(np.append(True, row[1:] != row[:-1])[: len(row)], at, 0))
+
+
 def best_of(row: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each row, by row, best first; an id counts once a row, equal cosines go to the smaller id."""
     order = np.lexsort((-s, ids, row))
@@ -136,33 +155,43 @@ def best_of(row: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np
     row, ids, s = row[new], ids[new], s[new]
     order = np.lexsort((ids, -s, row))
     row, ids, s = row[order], ids[order], s[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    keep = _rank(row) < k
     return row[keep], ids[keep], s[keep]
 
 
 def above(s: np.ndarray, over: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k largest of each row that are above ``over``; of equal ones the first columns."""
-    hit = s > over[:, None]
-    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
-    if len(many):
-        own = s[many]
-        kth = np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k]
-        hit[many] = own >= kth[:, None]
-        for i in np.flatnonzero(np.count_nonzero(hit[many], axis=1) > k):  # copies
-            first = np.append(np.flatnonzero(own[i] > kth[i]), np.flatnonzero(own[i] == kth[i]))[:k]
-            hit[many[i]] = False
-            hit[many[i], first] = True
-    if hit.flags.c_contiguous:
-        return np.nonzero(hit)
-    c, r = np.nonzero(hit.T)  # in the order of memory
-    return r, c
+    """(row, column) of the k largest of each row that are above ``over``; of equal ones the first columns.
+
+    ``over`` rises to the k-th largest of a row that has so many.
+    """
+    turned = not s.flags.c_contiguous  # in the order of memory
+    hit = s.T > over if turned else s > over[:, None]
+    flat = np.flatnonzero(hit)
+    r, c = np.divmod(flat, hit.shape[1])
+    if turned:
+        r, c = c, r
+    count = np.bincount(r, minlength=len(s))
+    many = np.flatnonzero(count > k)
+    if not len(many):
+        return r, c
+    few = count[r] <= k
+    own = np.ascontiguousarray(s[many])
+    kth = np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k]
+    over[many] = kth
+    best = own >= kth[:, None]
+    for i in np.flatnonzero(np.count_nonzero(best, axis=1) > k):  # copies
+        first = np.append(np.flatnonzero(own[i] > kth[i]), np.flatnonzero(own[i] == kth[i]))[:k]
+        best[i] = False
+        best[i, first] = True
+    at, col = np.nonzero(best)
+    return np.append(r[few], many[at]), np.append(c[few], col)
 
 
 def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tuple[np.ndarray, np.ndarray]], k: int, floor: float | None, recall: float) -> dict[str, tuple[float, int]]:
     """Of each model, the margin that reaches ``recall`` of the probes' true neighbours, and how many those are."""
 
     def run(batches):
-        best = {m: Best(len(own), k, floor) for m, (own, _) in probes.items()}
+        best = {m: Best(len(own), k, floor, repeats=True) for m, (own, _) in probes.items()}
         seen: dict[str, dict[int, bytes]] = {m: {} for m in probes}
         for b in batches:
             for model, ids, x in usable(b, widths):
@@ -172,7 +201,7 @@ def _calibrate(responses, widths, trees: dict[str, Tree], probes: dict[str, tupl
                 for i in range(0, len(own), TILE[0]):
                     s = q[i : i + TILE[0]] @ x.T
                     s[own[i : i + TILE[0], None] == ids[None, :]] = -np.inf
-                    r, c = above(s, mine.over[i : i + TILE[0]], k)
+                    r, c = above(s, mine.over[i : i + TILE[0]].copy(), k)  # k of a tile may be fewer vectors
                     mine.add(r + i, ids[c], s[r, c])
                     vectors.update((int(ids[j]), x[j].tobytes()) for j in np.unique(c))
                 if len(vectors) > 4 * k * len(own) + 10_000:
@@ -217,23 +246,36 @@ def _needed(tree: Tree, q: np.ndarray, row: np.ndarray, leaf: np.ndarray) -> np.
 
 
 def search(ids: np.ndarray, x: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, neighbour, cosine): the k best of each of ``asked`` among ``ids`` and the reverse. Both ascend."""
-    there, back = Best(len(asked), k, floor), Best(len(ids), k, floor)
+    """(id, neighbour, cosine): the k best of each of ``asked`` among ``ids`` and the reverse. Both ascend, without repeats."""
+    same = np.array_equal(ids, asked)
+    tiles = [slice(j, j + TILE[1]) for j in range(0, len(ids), TILE[1])]
+    back = [Best(len(ids[t]), k, floor) for t in tiles]
+    found = []
     for i in range(0, len(asked), TILE[0]):
-        own = slice(i, i + TILE[0])
-        for j in range(0, len(ids), TILE[1]):
-            base = slice(j, j + TILE[1])
-            s = q[own] @ x[base].T
-            at = np.searchsorted(ids[base], asked[own])
-            same = np.flatnonzero((at < len(ids[base])) & (ids[base][np.minimum(at, len(ids[base]) - 1)] == asked[own]))
-            s[same, at[same]] = -np.inf
-            r, c = above(s, there.over[own], k)
-            there.add(r + i, ids[base][c], s[r, c])
-            c, r = above(s.T, back.over[base], k)
-            back.add(c + j, asked[own][r], s[r, c])
-    r, to, s = there.trim()
-    c, back_to, t = back.trim()
-    return best_of(np.append(asked[r], ids[c]), np.append(to, back_to), np.append(s, t), k)
+        own, who = slice(i, i + TILE[0]), asked[i : i + TILE[0]]
+        there = Best(len(who), k, floor)
+        for t, reverse in zip(tiles, back):
+            s = q[own] @ x[t].T
+            at = np.searchsorted(ids[t], who)
+            self = np.flatnonzero(ids[t][np.minimum(at, len(ids[t]) - 1)] == who)
+            s[self, at[self]] = -np.inf
+            r, c = above(s, there.over, k)
+            there.add(r, ids[t][c], s[r, c])
+            if not same:  # else the reverse is asked as well
+                c, r = above(s.T, reverse.over, k)
+                reverse.add(c, who[r], s[r, c])
+        r, near, s = there.trim()
+        found.append((who[r], near, s))
+    for t, reverse in zip(tiles, back):
+        c, near, s = reverse.trim()
+        found.append((ids[t][c], near, s))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    of, near, s = (np.concatenate(y) for y in zip(*found))
+    if same or not len(np.intersect1d(ids, asked, assume_unique=True)):
+        order = np.argsort(of, kind="stable")
+        return of[order], near[order], s[order]
+    return best_of(of, near, s, k)
 
 
 def _loads(responses: DataFrame, widths: dict[str, int], trees: dict[str, Tree], margin: dict[str, float]) -> dict[str, np.ndarray]:
@@ -285,6 +327,12 @@ def grid(ids: np.ndarray, leaf: np.ndarray, home: np.ndarray, by_row: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def paired(ids: np.ndarray, blocks: int) -> tuple[np.ndarray, ...]:
+    """Where rows go so that each two meet once: ``(row, block, other block, 0, base, asks)``, a cell for each pair of blocks."""
+    own, other = np.repeat((mixed(ids + 3) * blocks).astype(np.int64), blocks), np.tile(np.arange(blocks), len(ids))
+    return np.repeat(np.arange(len(ids)), blocks), np.minimum(own, other), np.maximum(own, other), np.zeros(len(own), np.int64), own <= other, own >= other
+
+
 def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, recall: float = 0.997, leaf_rows: int = 12000, least_leaves: int = 8, sample_per_leaf: int = 64, max_leaves: int = 4096, probes: int = 512, split_rows: int = 50_000) -> DataFrame:
     """``model, id, neighbour, cosine``: at most k rows for each usable vector, none below ``floor``.
 
@@ -294,7 +342,7 @@ def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, re
     leaves. The sample that grows a model's tree has about ``sample_per_leaf`` vectors a leaf, so at most
     sample_per_leaf * max_leaves; ``recall`` is the share of the true neighbours (above the floor, if
     there is one) of ``probes`` vectors that the calibrated margin must reach. Without a floor the
-    neighbours of unclustered vectors lie everywhere, and the margin widens accordingly.
+    neighbours of unclustered vectors lie everywhere: then all pairs are compared, which is exact.
     """
     source = one_a_row(responses)
     widths, counts = widths_of(source)
@@ -321,25 +369,37 @@ def neighbours(responses: DataFrame, k: int = 10, floor: float | None = None, re
         margin |= {m: w for m, (w, pairs) in got.items() if pairs >= probes or len(asked[m][0]) == len(sample[m][0])}
         most *= 4
     loads = _loads(source, widths, trees, margin)
-    cells = {m: np.maximum(1, -(-load // min(split_rows, max(256, CELL // (4 * widths[m]))))) for m, load in loads.items()}
+    most_rows = {m: min(split_rows, max(256, CELL // (4 * widths[m]))) for m in trees}
+    cells = {m: np.maximum(1, -(-load // most_rows[m])) for m, load in loads.items()}
+    blocks = {}  # of the models whose pairs are all compared
+    for m, load in loads.items():
+        n = int(load[:, 0].sum())
+        if 2 * int((load[:, 0] * load[:, 1]).sum()) >= n * n:
+            blocks[m] = max(1, -(-n // most_rows[m]), 3 if n > 10_000 else 1)
+
+    def placed(model, ids, x):
+        if model in blocks:
+            return paired(ids, blocks[model])
+        rows, leaf, _ = trees[model].visits(x, margin[model])
+        order = np.argsort(rows, kind="stable")  # visits of a row stay in their order, its home first
+        rows, leaf = rows[order], leaf[order]
+        home = np.append(True, rows[1:] != rows[:-1])
+        by_row, by_visit = cells[model].T
+        at, r, q, base, asks = grid(ids[rows], leaf, home, by_row, by_visit)
+        return rows[at], leaf[at], r, q, base, asks
 
     def file(batches):
         for b in batches:
             for model, ids, x in usable(b, widths):
                 if model not in trees or not len(x):
                     continue
-                rows, leaf, _ = trees[model].visits(x, margin[model])
-                order = np.argsort(rows, kind="stable")  # visits of a row stay in their order, its home first
-                rows, leaf = rows[order], leaf[order]
-                home = np.append(True, rows[1:] != rows[:-1])
-                by_row, by_visit = cells[model].T
-                at, r, q, base, asks = grid(ids[rows], leaf, home, by_row, by_visit)
-                data = np.asarray([v.tobytes() for v in x], object)
+                at, leaf, r, q, base, asks = placed(model, ids, x)
+                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
                 for i in range(0, len(at), 20_000):
-                    w = at[i : i + 20_000]
-                    to = rows[w]
+                    w = slice(i, i + 20_000)
+                    to = pa.array(at[w])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([model] * len(w)), pa.array(leaf[w]), pa.array(r[i : i + 20_000]), pa.array(q[i : i + 20_000]), pa.array(base[i : i + 20_000]), pa.array(asks[i : i + 20_000]), pa.array(ids[to]), pa.array(data[to], pa.binary())],
+                        [pa.array([model] * len(to)), pa.array(leaf[w]), pa.array(r[w]), pa.array(q[w]), pa.array(base[w]), pa.array(asks[w]), pa.array(ids).take(to), data.take(to)],
                         ["model", "leaf", "r", "q", "base", "asks", "id", "v"],
                     )
 

@@ -174,3 +174,21 @@ def test_a_response_of_many_vectors_is_a_row_for_each(spark):
     rows = [("m", [1, None, 3, 4], [[1.0], [2.0], None], None, "x"), ("m", None, [[1.0]], None, "x"), (None, [5], [[1.0]], None, "x"), ("m", list(range(10, 3010)), [[1.0, 2.0]] * 3000, None, "x")]
     got = similar.one_a_row(spark.createDataFrame(rows, SCHEMA))
     assert got.count() == 3001 and got.where("id = 1").first()["v"] == [1.0]
+
+
+def test_without_a_floor_all_pairs_are_compared_in_cells_of_bounded_size(spark):
+    x = np.random.default_rng(9).normal(size=(1500, 64)).astype(np.float32)  # no clusters: neighbours lie everywhere
+    ids = np.arange(len(x)) * 7
+    near = similar.neighbours(responses(spark, ids, x), k=20, leaf_rows=100, split_rows=400).toPandas()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    truth = {(i * 7, j * 7) for i in range(len(x)) for j in np.argsort(-s[i])[:20]}
+    got = set(zip(near.id, near.neighbour))
+    assert len(near) == len(got) == len(truth) and len(got & truth) >= len(truth) - 2  # rounding
+    # each pair of rows meets in one cell, and a cell holds two blocks at most
+    at, r, q, _, base, asks = similar.paired(ids, 4)
+    assert np.unique(r * 4 + q, return_counts=True)[1].max() < 1000
+    for i, j in np.random.default_rng(3).integers(0, len(ids), (50, 2)):
+        cells = [{(a, b) for a, b, on in zip(r[at == n], q[at == n], of[at == n]) if on} for n, of in ((i, base), (j, asks), (j, base), (i, asks))]
+        assert len(cells[0] & cells[1] | cells[2] & cells[3]) == 1
