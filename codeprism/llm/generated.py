@@ -248,46 +248,103 @@ def cluster_stats(member: DataFrame) -> DataFrame:
     return member.groupBy("c").agg(F.count(F.lit(1)).alias("files"), F.avg("literal").alias("literal"), *share)
 
 
-def copies(member: DataFrame) -> DataFrame:
+def copies(member: DataFrame, cell_rows: int = 2000) -> DataFrame:
     """``_k, foreign, tool``: whether a member's own wording stands in the catalog, a vendored file or another repository, or in a generated file.
 
-    The named signatures of a cluster are banded in turn. A bucket keeps at most five of them, one each for its
-    first and last repository, the catalog, the vendored and the generated files; these aggregates are what its
-    members are verified against, so no pair of members is formed.
+    Members of a cluster with one named signature are one node, which knows its first and last repository and
+    whether the catalog, a vendored or a generated file is among them. The nodes are banded in turn, and every two
+    nodes of a bucket are compared; a node learns from all that it agrees with, and only those minima and maxima
+    leave a task. A bucket of more than ``cell_rows`` nodes is cut into blocks, a cell for each two of them.
     """
     kind = member.schema["_k"].dataType.simpleString()
+    knows = ["lo", "hi", "cat", "ven", "gen"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = bands(stacked(b.column(4)), NAMED_ROWS) if b.num_rows else np.zeros((0, 1), np.int64)
+            h = bands(stacked(b.column(2)), NAMED_ROWS) if b.num_rows else np.zeros((0, 1), np.int64)
             at = pa.array(np.repeat(np.arange(len(h)), h.shape[1]))
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(6)), pa.array(h.ravel())], ["c", "_k", "root", "own", "named", "shingles", "band"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            foreign, tool = [], []
-            for root, named, n, lo, hi, *known in zip(*(b.column(i).to_pylist() for i in range(1, 9))):
-                own = np.frombuffer(named, np.uint16)
-                like = lambda other, least: other is not None and (own == np.frombuffer(other, np.uint16)).mean() >= least  # noqa: B023, E731
-                cat, ven, gen = known
-                others = [x["named"] for x in (lo, hi) if x is not None and x["root"] != root] + [ven]
-                foreign.append(like(cat, NAMED_AGREE if n >= LEAST_SHINGLES else 1.0) or n >= LEAST_SHINGLES and any(like(x, NAMED_AGREE) for x in others))
-                tool.append(n >= LEAST_SHINGLES and like(gen, NAMED_AGREE))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(foreign, pa.bool_()), pa.array(tool, pa.bool_())], ["_k", "foreign", "tool"])
-
-    rows = member.select("c", "_k", F.coalesce("root", F.lit("")).alias("root"), F.coalesce("own", F.lit("")).alias("own"), "named", "shingles")
-    each = materialised(rows.mapInArrow(keys, f"c bigint, _k {kind}, root string, own string, named binary, shingles int, band bigint"))
-    file, place = F.col("_k").isNotNull(), F.struct("root", "named")
-    kept = each.groupBy("c", "band").agg(
-        F.min(F.when(file, place)).alias("lo"),
-        F.max(F.when(file, place)).alias("hi"),
-        F.min(F.when(~file, F.col("named"))).alias("cat"),
-        F.min(F.when(F.col("own") == "vendored", F.col("named"))).alias("ven"),
-        F.min(F.when(F.col("own") == "generated", F.col("named"))).alias("gen"),
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(b.num_columns)), pa.array(h.ravel())], [*b.schema.names, "band"])
+
+    rows = member.select("c", "_k", F.coalesce("root", F.lit("")).alias("root"), F.coalesce("own", F.lit("")).alias("own"), "named", "shingles", F.xxhash64("named").alias("v"))
+    file = F.col("_k").isNotNull()
+    nodes = rows.groupBy("c", "v").agg(
+        F.first("named").alias("named"),
+        F.min(F.when(file, F.col("root"))).alias("lo"),
+        F.max(F.when(file, F.col("root"))).alias("hi"),
+        F.max(~file).alias("cat"),
+        F.max(F.col("own") == "vendored").alias("ven"),
+        F.max(F.col("own") == "generated").alias("gen"),
     )
-    kept = kept.where("lo.root <> hi.root or cat is not null or ven is not null or gen is not null")
-    told = each.where(file).join(kept, ["c", "band"]).select("_k", "root", "named", "shingles", "lo", "hi", "cat", "ven", "gen")
-    return told.mapInArrow(verify, f"_k {kind}, foreign boolean, tool boolean").groupBy("_k").agg(F.max("foreign").alias("foreign"), F.max("tool").alias("tool"))
+    nodes = materialised(nodes)
+    each = nodes.mapInArrow(keys, "c bigint, v bigint, named binary, lo string, hi string, cat boolean, ven boolean, gen boolean, band bigint")
+    told = (F.min("lo") != F.max("hi")) | F.max("cat") | F.max("ven") | F.max("gen")
+    buckets = each.groupBy("c", "band").agg(F.count(F.lit(1)).alias("n"), F.coalesce(told, F.lit(False)).alias("told"))
+    buckets = buckets.where("n > 1 and told").select("c", "band", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks")).cast("int")
+    cells = each.join(buckets, ["c", "band"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("c", "band", F.least("block", "other"), F.greatest("block", "other"))
+    cells = cells.select(cell.alias("cell"), (F.col("block") != F.col("other")).alias("two"), (F.col("block") > F.col("other")).alias("second"), "c", "v", "named", *knows)
+    cells = cells.repartition("cell").sortWithinPartitions("cell", "second")
+    learnt = cells.mapInArrow(compared, "c bigint, v bigint, lo string, hi string, cat boolean, ven boolean, gen boolean")
+    known = nodes.select("c", "v", *knows).unionByName(learnt).groupBy("c", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.max(x).alias(x) for x in knows[2:]])
+    known = known.join(nodes.select("c", "v", F.col("cat").alias("equal")), ["c", "v"])
+    enough, others = F.col("shingles") >= LEAST_SHINGLES, (F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))
+    found = rows.where(file).join(known, ["c", "v"]).select("_k", (F.col("equal") | enough & (F.col("cat") | F.col("ven") | others)).alias("foreign"), (enough & F.col("gen")).alias("tool"))
+    return found.groupBy("_k").agg(F.max("foreign").alias("foreign"), F.max("tool").alias("tool"))
+
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``c, v, lo, hi, cat, ven, gen``: what each node learns from the nodes of its cell that it agrees with.
+
+    Rows come by cell; one of two blocks has the first block's rows first, and pairs across the two alone count.
+    """
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if not t.num_rows:
+            continue
+        cell = t["cell"].to_numpy()
+        whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+        rest = t.slice(whole)
+        if whole:
+            yield from _learnt(t.slice(0, whole))
+    if rest is not None and rest.num_rows:
+        yield from _learnt(rest)
+
+
+def _learnt(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    n = t.num_rows
+    cell, two, second = (t[x].to_numpy() for x in ("cell", "two", "second"))
+    sig = stacked(t["named"])
+    roots = sorted({x for c in ("lo", "hi") for x in t[c].unique().to_pylist() if x is not None})
+    number = {x: i for i, x in enumerate(roots)}
+    lo = np.array([number.get(x, len(roots)) for x in t["lo"].to_pylist()])
+    hi = np.array([number.get(x, -1) for x in t["hi"].to_pylist()])
+    flags = [t[x].to_numpy() for x in ("cat", "ven", "gen")]
+    end = np.searchsorted(cell, cell, side="right")
+    of = np.unique(cell, return_inverse=True)[1]
+    middle = np.searchsorted(cell, cell) + np.bincount(of, ~second).astype(np.int64)[of]
+    start = np.where(two, middle, np.arange(n) + 1)
+    pairs = np.where(two & second, 0, end - start)
+    low, high, seen, any_of = lo.copy(), hi.copy(), np.zeros(n, bool), [f.copy() for f in flags]
+    upto = np.cumsum(pairs)
+    i = 0
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + 200_000, side="right")))
+        left = np.repeat(np.arange(i, j), pairs[i:j])
+        right = np.arange(len(left)) - np.repeat(upto[i:j] - pairs[i:j] - (upto[i - 1] if i else 0), pairs[i:j]) + start[left]
+        ok = (sig[left] == sig[right]).sum(axis=1) >= NAMED_AGREE * sig.shape[1]
+        for a, z in ((left[ok], right[ok]), (right[ok], left[ok])):
+            seen[a] = True
+            np.minimum.at(low, a, lo[z])
+            np.maximum.at(high, a, hi[z])
+            for f, every in zip(flags, any_of):
+                every[a[f[z]]] = True
+        i = j
+    at = np.flatnonzero(seen)
+    names = np.array([*roots, None], object)
+    columns = [t["c"].to_numpy()[at], t["v"].to_numpy()[at]]
+    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(names[low[at]], pa.string()), pa.array(names[high[at]], pa.string()), *(pa.array(x[at]) for x in any_of)], ["c", "v", "lo", "hi", "cat", "ven", "gen"])
 
 
 def judged(stats: DataFrame, member: DataFrame, copied: DataFrame) -> DataFrame:

@@ -273,3 +273,19 @@ def test_overloads_are_all_kept(spark, languages):
     text = "class A {\n  /** Opens the file that the caller names. */\n  void open(String a) { x(); }\n  /** Opens the stream and keeps its place. */\n  void open(Stream b) { y(); }\n}\n"
     df = spark.createDataFrame([("a", "/a.java", text, None)] * 2, "id string, path string, content string, docstring string")
     assert [r["function_name"] for r in documented.documented(df, languages).collect()] == ["open", "open"]
+
+
+def test_every_two_members_of_a_bucket_are_compared(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    places = rng.integers(0, 1 << 16, (60, generated.NAMED_PLACES), dtype=np.uint16)
+    places[:, :3] = 7  # one bucket of all, of which few agree
+    places[40:50, :20] = places[20:30, :20]
+    rows = [(1, i, f"/r{0 if i == 0 else 9 if i == 59 else 5 if i < 40 else 6}", "generated" if i in (22, 23, 59) else None, places[i].tobytes(), 100) for i in range(60)]
+    rows += [(1, None, None, None, places[30].tobytes(), 100), (1, 60, "/r5", None, places[30].tobytes(), 3), (1, 61, "/r5", None, places[31].tobytes(), 3)]
+    member = spark.createDataFrame(rows, "c long, _k long, root string, own string, named binary, shingles int")
+    for cell_rows in (2000, 10):
+        got = {r["_k"]: (r["foreign"], r["tool"]) for r in generated.copies(member, cell_rows).collect()}
+        assert {k for k, (f, _) in got.items() if f} == {*range(20, 30), *range(40, 50), 30, 60}
+        assert {k for k, (_, t) in got.items() if t} == {22, 23, 42, 43, 59}
