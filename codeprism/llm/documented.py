@@ -52,6 +52,9 @@ MODULES = {"typescript": "script", "tsx": "script", "javascript": "script", "pyt
 BETWEEN = re.compile(r"(?:[ \t]*(?:@[\w.]+(?:\([^\n]*\))?|\#\[[^\n]*\])[ \t]*\r?\n)+\Z")
 LAST = {True: re.compile(r"(?:^|\n)(?P<c>(?:[ \t]*\#[^\n]*\n)+)\Z"), False: re.compile(r"(?:^|\n)(?P<c>(?:[ \t]*//[^\n]*\n)+|[ \t]*/\*(?:[^*]|\*(?!/))*\*/[ \t]*\n?)[ \t]*\Z")}
 
+#: A line that the next one continues, and a line that continues the one before.
+STOPS, OPEN_END, OPEN_START = re.compile(r"[()\[\]{};,\n]"), re.compile(r"(?:^\s*|=>|[-+*/%&|^=<>?:.!~]|\b(?:await|typeof|new|void|in|of|instanceof|as))\s*\Z"), re.compile(r"\s*(?:[.?:&|*/%^=<>\[(]|[-+](?![-+])|(?:instanceof|in|as)\b)")
+
 # fixed values: documentation that says nothing
 DIRECTIVE = re.compile(r"^\W*(?:eslint|tslint|jshint|prettier|istanbul|c8|nolint|noqa|noinspection|pylint|flake8|mypy|ruff|black|isort|type:|pragma|@ts-|ts-|clippy|rustfmt|cargo|fmt:|go:|line |\+build|region|endregion|#?(?:end)?region|suppress|nosonar|checkstyle|coverage|biome|sonar|codegen|skip-)\b.*$|^\W*(?:@(?:inheritdoc|override|internal|private|public|deprecated|ts-[\w-]+|type\b.*|suppress\w*))\W*$", re.I | re.M)
 REFERENCE = re.compile(r"^\W*(?:see|cf\.?|refer to|compare|siehe|voir|véase|ver|zie|vedi|zob\.?|patrz|см\.?|見よ|参照|参见|참조)\b[^.\n]{0,80}\.?\W*$|^\W*(?:ditto|same as (?:above|below|before)|as above|dito|idem|(?:same|likewise)\.?)\W*$|^\W*@see\b.*$|\b(?:see|as) (?:above|below)\b\.?", re.I | re.M)
@@ -136,7 +139,8 @@ def functions(language: str, text: str, docstring: str | None) -> Iterator[tuple
     while m := pattern(language).search(code, at):
         start = m.start("at")
         name = m.group("name")
-        signature = code[start : m.end("round")] if m.group("round") else code[start : m.end()].split("\n", 1)[0]
+        listed = next((m.end(g) for g in ("round", "list", "arrow") if m.groupdict().get(g)), m.end())
+        signature = code[start:listed] if m.group("round") else code[start:listed] + code[listed : m.end()].split("\n", 1)[0]
         line = code.rfind("\n", 0, start) + 1
         before = text[:line] if not code[line:start].strip() else ""
         if before and (between := BETWEEN.search(before)):
@@ -151,8 +155,70 @@ def functions(language: str, text: str, docstring: str | None) -> Iterator[tuple
         if python and (inner := docstring_of(text, m.end())):
             docs.append(inner)
         first = False
-        yield name, signature, "\n\n".join(docs), text[start : m.end()]
-        at = next((m.end(g) for g in ("round", "list", "arrow") if m.groupdict().get(g)), m.end())  # functions inside the body are found as well
+        yield name, signature, "\n\n".join(docs), text[start : end_of(language, text, start, m)]
+        at = listed  # functions inside the body are found as well
+
+
+@lru_cache(maxsize=2)
+def bracketed(language: str, text: str) -> str:
+    """``text`` with comments blanked out and each string as a pair of brackets, every character in its place."""
+
+    def show(m: re.Match) -> str:
+        kind = m.lastgroup
+        inner = " " if kind == "c" else "s"
+        at = m.start(kind) - m.start()
+        t = re.sub(r"[^\n]", inner, m.group()[at:])
+        return m.group()[:at] + (t if kind == "c" else f"({t[1:-1]})")
+
+    return HIDDEN[language].sub(show, text)
+
+
+def end_of(language: str, text: str, start: int, m: regex.Match) -> int:
+    """Where the function ends whose signature ``m`` has found: past its indented block, or its arrow's expression."""
+    if language == "python":
+        return _block_end(bracketed(language, text), start, m.end())
+    if m.groupdict().get("arrow") and not (code := bracketed(language, text))[m.end("arrow") :].lstrip().startswith("{"):
+        return max(m.end(), _expression_end(code, m.end("arrow")))
+    return m.end()
+
+
+def _block_end(code: str, start: int, at: int) -> int:
+    """The end of the last line that stands deeper than the line of ``start``; blank ones and those inside brackets go on."""
+    line = code.rfind("\n", 0, start) + 1
+    width = len(code[line:start].expandtabs())
+    stop = code.find("\n", at)
+    stop = len(code) if stop < 0 else stop
+    end, depth = len(code[at:stop].rstrip()) + at, max(0, _depth(code[at:stop]))
+    while stop < len(code):
+        begin = stop + 1
+        stop = code.find("\n", begin)
+        stop = len(code) if stop < 0 else stop
+        row = code[begin:stop]
+        if row.strip():
+            if not depth and len(row.expandtabs()) - len(row.expandtabs().lstrip()) <= width:
+                break
+            end = begin + len(row.rstrip())
+            depth = max(0, depth + _depth(row))
+    return end
+
+
+def _depth(code: str) -> int:
+    return sum(map(code.count, "([{")) - sum(map(code.count, ")]}"))
+
+
+def _expression_end(code: str, at: int) -> int:
+    """The end of an expression: before a semicolon, a comma or a closing bracket, or at the end of a line that nothing continues."""
+    depth, end = 0, len(code)
+    for m in STOPS.finditer(code, at):
+        c = m.group()
+        if c in "([{":
+            depth += 1
+        elif c in ")]}" and depth:
+            depth -= 1
+        elif not depth and (c != "\n" or not OPEN_END.search(code[max(at, m.start() - 40) : m.start()]) and not OPEN_START.match(code, m.start())):
+            end = m.start()
+            break
+    return len(code[:end].rstrip())
 
 
 def _after_code(code: str, start: int) -> bool:

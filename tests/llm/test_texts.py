@@ -289,3 +289,23 @@ def test_every_two_members_of_a_bucket_are_compared(spark):
         got = {r["_k"]: (r["foreign"], r["tool"]) for r in generated.copies(member, cell_rows).collect()}
         assert {k for k, (f, _) in got.items() if f} == {*range(20, 30), *range(40, 50), 30, 60}
         assert {k for k, (_, t) in got.items() if t} == {22, 23, 42, 43, 59}
+
+
+def test_functions_come_with_their_whole_signature_and_code():
+    text = 'class A:\n    def area(self, r):\n        """Gives the area of a circle that the caller draws."""\n        s = """\nnot indented"""\n        # kept\n        return [\n    r,\n]\n\n    def b(self): pass\nx = 1\n'
+    first, second = [code for _, _, _, code in documented.functions("python", text, None)]
+    assert first.endswith("r,\n]") and "return [" in first and second == "def b(self): pass"
+    text = "const half = (n) =>\n  n\n    .map((x) => { return x / 2; })\n    .join();\nconst one = () => 1\nconst many = (\n  radius,\n  colour,\n) => ({ a: radius });\n"
+    got = {name: (signature, code) for name, signature, _, code in documented.functions("script", text, None)}
+    assert got["half"][1].endswith(".join()") and got["one"][1] == "const one = () => 1" and got["many"][1].endswith("=> ({ a: radius })")
+    assert "colour" in got["many"][0]
+    got = [code for _, _, _, code in documented.functions("script", "const a = () => 'x' + `y\n;z`\nconst b = (s) => /[;,]/.test(s)\n", None)]
+    assert got == ["const a = () => 'x' + `y\n;z`", "const b = (s) => /[;,]/.test(s)"]
+    text = 'def f():\n    """Opens the drawer.\n\nIt holds maps."""\n# outside\n'
+    assert [code for *_, code in documented.functions("python", text, None)] == [text[: text.index("\n# out")]]
+
+
+def test_definitions_that_differ_in_their_bodies_are_all_kept(spark, languages):
+    text = "# Opens the drawer that holds the maps.\ndef f(x):\n    return 1\n\n\n# Opens the drawer that holds the maps.\ndef f(x):\n    return 2\n"
+    df = spark.createDataFrame([("a", "/a.py", text, None)], "id string, path string, content string, docstring string")
+    assert sorted(r["code"] for r in documented.documented(df, languages).collect()) == ["def f(x):\n    return 1", "def f(x):\n    return 2"]
