@@ -276,9 +276,10 @@ def copies(member: DataFrame, cell_rows: int = 2000) -> DataFrame:
         F.max(F.col("own") == "generated").alias("gen"),
     )
     nodes = materialised(nodes)
-    each = nodes.mapInArrow(keys, "c bigint, v bigint, named binary, lo string, hi string, cat boolean, ven boolean, gen boolean, band bigint")
     told = (F.min("lo") != F.max("hi")) | F.max("cat") | F.max("ven") | F.max("gen")
-    buckets = each.groupBy("c", "band").agg(F.count(F.lit(1)).alias("n"), F.coalesce(told, F.lit(False)).alias("told"))
+    some = nodes.groupBy("c").agg(F.count(F.lit(1)).alias("n"), told.alias("told")).where("n > 1 and told").select("c")  # else there is nothing to learn
+    each = nodes.join(some, "c").mapInArrow(keys, "c bigint, v bigint, named binary, lo string, hi string, cat boolean, ven boolean, gen boolean, band bigint")
+    buckets = each.groupBy("c", "band").agg(F.count(F.lit(1)).alias("n"), told.alias("told"))
     buckets = buckets.where("n > 1 and told").select("c", "band", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks")).cast("int")
     cells = each.join(buckets, ["c", "band"]).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -286,8 +287,8 @@ def copies(member: DataFrame, cell_rows: int = 2000) -> DataFrame:
     cells = cells.select(cell.alias("cell"), (F.col("block") != F.col("other")).alias("two"), (F.col("block") > F.col("other")).alias("second"), "c", "v", "named", *knows)
     cells = cells.repartition("cell").sortWithinPartitions("cell", "second")
     learnt = cells.mapInArrow(compared, "c bigint, v bigint, lo string, hi string, cat boolean, ven boolean, gen boolean")
-    known = nodes.select("c", "v", *knows).unionByName(learnt).groupBy("c", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.max(x).alias(x) for x in knows[2:]])
-    known = known.join(nodes.select("c", "v", F.col("cat").alias("equal")), ["c", "v"])
+    known = nodes.select("c", "v", *knows, F.col("cat").alias("equal")).unionByName(learnt.withColumn("equal", F.lit(False)))
+    known = known.groupBy("c", "v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.max(x).alias(x) for x in (*knows[2:], "equal")])
     enough, others = F.col("shingles") >= LEAST_SHINGLES, (F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))
     found = rows.where(file).join(known, ["c", "v"]).select("_k", (F.col("equal") | enough & (F.col("cat") | F.col("ven") | others)).alias("foreign"), (enough & F.col("gen")).alias("tool"))
     return found.groupBy("_k").agg(F.max("foreign").alias("foreign"), F.max("tool").alias("tool"))
